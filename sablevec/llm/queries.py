@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablevec.llm import decontam, jaccard_join, langid, pii, secrets, sp_codec
+from sablevec.llm import decontam, jaccard_join, langid, pii, secrets, sp_codec, suffix_dedup
 from sablevec.session import configure
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 #: Stands in for a secret that a deployment passes in; pseudonyms are as safe as this key.
 PII_KEY = "key for tests"
 
