@@ -22,9 +22,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from sablevec.plans import search_queries, source_queries  # noqa: F401  (they register themselves)
+
+
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    _load()
+    return dict(_SQL)
