@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sablevec.operators import cluster, graph, index, metrics, projection, search, updates
+from sablevec.operators import cluster, graph, index, metrics, order, projection, search, updates
 from sablevec.plans.catalogue import register
 from sablevec.plans.corpora import queries_of, signed_vectors, table, vectors, words
 
@@ -113,7 +113,7 @@ def sv_validate(spark, sf_dir):
 @register("sv_offsets", sql("SELECT d, n, coalesce(sum(n) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_ FROM (SELECT d, count(*) n FROM p GROUP BY d)"))
 def sv_offsets(spark, sf_dir):
     n = vectors(spark, sf_dir).groupBy("d").agg(F.count("*").alias("n"))
-    return n.withColumn("offset_", F.coalesce(F.sum("n").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return order.running_sum(n, "d", "n", "offset_")
 
 
 @register("pack_unpack", sql("SELECT d, packed, packed >> 16 offset_, packed & 65535 n FROM (SELECT d, (coalesce(sum(n) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT << 16) | n packed FROM (SELECT d, count(*) n FROM p GROUP BY d))"))
@@ -183,7 +183,7 @@ def quantized_block_scores(spark, sf_dir):
 
 @register("elias_fano_select", sql("SELECT k, l[k::INT + 1] AS select_value FROM (SELECT list(d ORDER BY d) l FROM (SELECT DISTINCT d FROM p)), (SELECT unnest([0, 5, 50, 100000])::BIGINT k)"))
 def elias_fano_select(spark, sf_dir):
-    n = vectors(spark, sf_dir).select("d").distinct().withColumn("r", F.row_number().over(Window.orderBy("d")) - 1)
+    n = order.numbered(vectors(spark, sf_dir).select("d").distinct(), "d", "r")
     k = spark.createDataFrame([(0,), (5,), (50,), (100000,)], "k bigint")
     return k.join(n, F.col("k") == F.col("r"), "left").select("k", F.col("d").alias("select_value"))
 
@@ -203,7 +203,7 @@ def vocabulary(w: DataFrame) -> DataFrame:
     """Ids by first document, then token, dense from 0: counted by document first, so no task orders all tokens."""
     first = w.groupBy("token").agg(F.min("d").alias("d"))
     per = first.groupBy("d").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("d", "before")
+    before = order.running_sum(per, "d", "n").select("d", "before")
     rank = F.row_number().over(Window.partitionBy("d").orderBy("token"))
     return first.withColumn("r", rank).join(before, "d").select("token", (F.col("before") + F.col("r") - 1).cast("bigint").alias("id"))
 
@@ -657,8 +657,8 @@ def churn_rounds(spark, sf_dir):
     """Rounds of deletes over documents that are no queries: recall of the approximate search against the exact one."""
     x = Built(spark, sf_dir)
     summary, gone, out = x.most(), x.p.where("false").select("d"), None
-    order = Window.orderBy(F.md5(F.concat_ws(":", F.lit("12345"), F.col("d").cast("string"))))
-    ranked = x.p.where("d >= 20").select("d").distinct().withColumn("r", F.row_number().over(order))
+    ids = x.p.where("d >= 20").select("d").distinct().withColumn("h", F.md5(F.concat_ws(":", F.lit("12345"), F.col("d").cast("string"))))
+    ranked = order.numbered(ids, "h", "r").select("d", F.col("r") + 1).toDF("d", "r")
     for i in range(3):
         gone = ranked.where(F.col("r") <= 40 * i).select("d")
         live = updates.alive(x.p, gone)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sablevec.operators.order import numbered
+
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A corpus by extension: ``.jsonl`` and ``.json`` (id, tokens, values), ``.bin`` and ``.parquet`` (doc_id, components, values)."""
@@ -35,11 +37,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def number_documents(tokens: DataFrame) -> DataFrame:
     """(name, d): dense ids in order of names; ids of large corpora are dealt by range, not by one task."""
-    names = tokens.select("name").distinct()
-    parts = names.repartitionByRange("name").withColumn("part", F.spark_partition_id())
-    before = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("name"))
-    return parts.withColumn("r", rank).join(F.broadcast(before.select("part", "before")), "part").select("name", (F.col("before") + F.col("r") - 1).alias("d"))
+    return numbered(tokens.select("name").distinct(), "name", "d")
 
 
 def encode_tokens(tokens: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
