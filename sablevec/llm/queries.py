@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablevec.llm import ann, decontam, html_extract, jaccard_join, langid, license_scan, pii, secrets, sp_codec, suffix_dedup
+from sablevec.llm import ann, decontam, html_extract, jaccard_join, langid, license_scan, oracles, pii, secrets, sp_codec, suffix_dedup
 from sablevec.session import configure
 
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secret_scan": oracles.SECRETS, "op9_jaccard_join": oracles.JACCARD, "op10_decontamination": oracles.BENCHMARK}
