@@ -191,3 +191,21 @@ def test_config():
     with pytest.raises(ValueError):
         Config(metric="other")
     assert index_name("x", b=2, a=1) == "x_a_1_b_2"
+
+
+def test_sql_search(spark, five):
+    from sablevec.plans import sql_api
+
+    sql_api.register(SparseIndex.build(five, Config(block_size=2), keep=False), "toy")
+    found = spark.sql("SELECT * FROM toy_search(array(0, 2, 4), array(1D, 2D, 3D), 2) ORDER BY rank").collect()
+    assert [(r.d, r.score) for r in found] == [(3, 15.5), (4, 15.0)]
+
+
+def test_running_sums(spark):
+    from sablevec.operators.order import numbered, running_sum
+
+    df = spark.range(1000).selectExpr("id * 7 % 1000 AS x", "id AS v")
+    assert numbered(df, "x", "n").where("n <> x").count() == 0
+    total = {r.x: r.before for r in running_sum(df.where("x < 4"), "x", "v").collect()}
+    v = {(i * 7) % 1000: i for i in range(1000)}
+    assert total == {i: sum(v[j] for j in range(i)) for i in range(4)}
