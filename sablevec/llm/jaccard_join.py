@@ -7,11 +7,16 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Equal se
 2. Two sets at or above the threshold share one of the first ``n - ceil(t n) + 1`` elements in that order. These
    meet by element; elements of a single class fall away.
 3. The classes of an element are cut into bands by size: a band's first class is the candidate of all its band.
-   Each class keeps the candidate it met most often. Candidates pass the bitmap bound (differing bits bound the
-   difference from below, so the overlap from above), then exact intersection, and make first components.
-4. Classes of an element in different components are compared tile by tile, sizes and bitmaps first; survivors
-   are verified exactly. Pairs already in one component can't change the result and aren't listed, so a group of
-   many near copies costs its size, not its square.
+   Each class keeps the candidate it met most often. Candidates that pass the bitmap bound (differing bits bound
+   the difference from below, so the overlap from above) make first families. Classes of an element in different
+   families are compared tile by tile, sizes and bitmaps only; what passes joins families. So all pairs that can
+   be similar are in one family, and no list of pairs is made.
+4. A family's sets meet in tiles of bounded size. A tile tests pairs that aren't connected yet, by finer bitmaps
+   and then by exact intersection of the sorted arrays, until all that can be connected are. Families of several
+   tiles then compare tiles with the first one, and those that still differ with each other.
+
+``links`` are verified links that span each component; pairs that are already connected can't change the result
+and aren't listed, so a group of many near copies costs its size, not its square.
 
 Defined results: null text or text without words: empty set, linked with nothing, its own component; fewer than
 ``k`` words: the whole sequence as one shingle; equal texts or repeated rows share a component; a null id never
@@ -36,7 +41,9 @@ from sablevec.session import materialise
 
 #: Rows that one task sorts at a time, on average.
 TASK_ROWS = 1_000_000
-#: Classes of a tile that are compared with another tile in one step.
+#: Elements of the sets of a tile of a family, about.
+TILE_ELEMENTS = 4_000_000
+#: Classes of an element that are compared with another tile in one step.
 TILE = 512
 
 
@@ -183,42 +190,115 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[cut][keep[cut]]) for x in (h, cls, n, comp)], ["h", "cls", "n", "comp"])
 
 
-def _tiles(num: int, den: int):
-    """Pairs of one element in different components that sizes and bitmaps leave, tile by tile."""
+class Labels:
+    """Components of numbers 0 to n - 1, kept as an array of labels."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, a: int, b: int) -> bool:
+        x, y = self.of[a], self.of[b]
+        if x == y:
+            return False
+        self.of[self.of == y] = x
+        return True
 
-    def group(cls, n, comp, sig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((cls, n))
-        cls, n, comp, sig = cls[order], n[order], comp[order], [sig[i] for i in order]
-        for i in range(0, len(cls), TILE):
-            a = np.arange(i, min(i + TILE, len(cls)))
+
+def _tiles(num: int, den: int):
+    """Families that one element's classes connect, sizes and bitmaps allowing: spanning pairs, found tile by tile."""
+
+    def group(n, comp, sig) -> Iterator[tuple[int, int]]:
+        order = np.argsort(n, kind="stable")
+        n, sig = n[order], [sig[i] for i in order]
+        names, comp = np.unique(comp[order], return_inverse=True)
+        labels = Labels(len(names))
+        wide = np.array([len(x) for x in sig])
+        cuts = sorted({*range(0, len(n), TILE), *(np.flatnonzero(np.diff(wide)) + 1).tolist(), len(n)})
+        for i, end in zip(cuts, cuts[1:], strict=False):  # signatures of a tile have one width
+            a = np.arange(i, end)
             top = int(np.searchsorted(n, den * n[a[-1]] // num, "right"))
             for j in range(i, top, TILE):
                 b = np.arange(j, min(j + TILE, top))
-                x, y = np.nonzero((comp[a][:, None] != comp[b][None]) & (den * n[a][:, None] >= num * n[b][None]) & (a[:, None] < b[None]))
+                la, lb = labels.of[comp[a]], labels.of[comp[b]]
+                x, y = np.nonzero((la[:, None] != lb[None]) & (den * n[a][:, None] >= num * n[b][None]) & (a[:, None] < b[None]))
                 if not len(x):
                     continue
-                bits = 8 * min(len(sig[k]) for k in a)
+                bits = 8 * int(wide[i])
                 left, right = np.stack([_fold(sig[k], bits) for k in a]), np.stack([_fold(sig[k], bits) for k in b])
                 for at in range(0, len(x), 1 << 14):
                     p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
                     apart = np.bitwise_count(left[p] ^ right[q]).sum(1, dtype=np.int64)
                     both = n[a][p] + n[b][q]
                     ok = (both - apart) // 2 >= least_overlap(n[a][p], n[b][q], num, den)
-                    yield cls[a][p[ok]], cls[b][q[ok]]
+                    for u, v in np.unique(np.stack([comp[a][p[ok]], comp[b][q[ok]]]), axis=1).T:
+                        if labels.join(u, v):
+                            yield int(names[u]), int(names[v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, cls, n, comp, sig = _gather(batches, "h", "cls", "n", "comp", "sig")
+        h, n, comp, sig = _gather(batches, "h", "n", "comp", "sig")
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else []
+        pairs: set[tuple[int, int]] = set()
         for lo, hi in zip(first, [*first[1:], len(h)], strict=True):
             at = order[lo:hi]
-            for a, b in group(cls[at], n[at], comp[at], [sig[i] for i in at]):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            pairs.update((min(p), max(p)) for p in group(n[at], comp[at], [sig[i] for i in at]))
+        columns = list(zip(*sorted(pairs), strict=True)) if pairs else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
     return run
 
 
+def fine_bitmap(h: np.ndarray) -> np.ndarray:
+    """Eight to sixteen bits an element."""
+    bits = np.zeros(8 * width(len(h)), bool)
+    bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def linked(cls: list[int], sets_: list[np.ndarray], num: int, den: int, parts: tuple[list[int], int] | None = None) -> list[tuple[int, int]]:
+    """Verified links that span the components of some sets. ``parts``: components so far, and where a second tile begins; only pairs across are tested."""
+    order = sorted(range(len(cls)), key=lambda i: len(sets_[i]))
+    n = np.array([len(sets_[i]) for i in order], np.int64)
+    labels = Labels(len(order))
+    side = None
+    if parts:
+        _, labels.of = np.unique(np.array(parts[0])[order], return_inverse=True)
+        side = np.array(order) >= parts[1]
+    own = [sets_[i] for i in order]
+    sig = [fine_bitmap(x) for x in own] if len(order) > 2 else None
+    folded: dict[int, np.ndarray] = {}
+    out = []
+    for i in range(len(order)):
+        top = int(np.searchsorted(n, den * n[i] // num, "right"))
+        j = np.arange(i + 1, top)
+        ok = labels.of[j] != labels.of[i]
+        if side is not None:
+            ok &= side[j] != side[i]
+        j = j[ok]
+        if not len(j):
+            continue
+        need = least_overlap(n[i], n[j], num, den)
+        if sig:
+            words = len(sig[i])
+            if words not in folded:  # all larger sets at this width, made once; sizes only grow
+                folded = {words: np.stack([np.bitwise_or.reduce(s.reshape(-1, words), axis=0) for s in sig[i:top]]) if top > i else None, "at": i}
+            have = folded[words]
+            if folded["at"] + len(have) < top:
+                more = [np.bitwise_or.reduce(s.reshape(-1, words), axis=0) for s in sig[folded["at"] + len(have) : top]]
+                have = folded[words] = np.concatenate([have, np.stack(more)])
+            apart = np.concatenate([np.bitwise_count(have[j[k : k + 4096] - folded["at"]] ^ sig[i]).sum(1, dtype=np.int64) for k in range(0, len(j), 4096)])
+            ok = (n[i] + n[j] - apart) // 2 >= need
+            j, need = j[ok], need[ok]
+        for k, least in zip(j.tolist(), need.tolist(), strict=True):
+            if labels.of[k] == labels.of[i]:
+                continue
+            at = np.minimum(np.searchsorted(own[k], own[i]), n[k] - 1)
+            if int((own[k][at] == own[i]).sum()) >= least:
+                labels.join(i, k)
+                out.append((cls[order[i]], cls[order[k]]))
+    return out
+
+
 def _bounded(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,16 +309,23 @@ def _bounded(num: int, den: int):
     return run
 
 
-def _exact(num: int, den: int):
+def _links(num: int, den: int, across: bool):
+    """Links of each group of sets: a tile, or (``across``) two tiles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, dict[int, tuple]] = {}
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                ok.append(int((large[at] == small).sum()) >= least_overlap(len(p), len(q), num, den))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            own = batch.column("set")
+            names = [batch.column(c).to_pylist() for c in ("family", "low", "high", "tile", "cls", "comp")]
+            for i, (family, low, high, tile, cls, comp) in enumerate(zip(*names, strict=True)):
+                groups.setdefault((family, low, high), {})[cls] = (tile == high, comp, np.frombuffer(own[i].as_py(), np.uint64))
+        for rows in groups.values():
+            at = sorted(rows, key=lambda c: (rows[c][0], c))
+            parts = ([rows[c][1] for c in at], sum(not rows[c][0] for c in at)) if across else None
+            found = linked(at, [rows[c][2] for c in at], num, den, parts)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -261,30 +348,48 @@ class Join:
         self.met = materialise(spread.mapInArrow(_meet(num, den), "h bigint, cls bigint, n bigint, lead bigint"), "met")
         first = self.met.where("lead <> cls").groupBy("cls", "lead").agg(F.count("*").alias("times"))
         first = first.groupBy("cls").agg(F.max(F.struct("times", "lead")).alias("m")).select(F.least("cls", "m.lead").alias("a"), F.greatest("cls", "m.lead").alias("b"))
-        self.links = self._verify(self._bound(first.distinct()))
-        one = components(self.links)
+        star = materialise(self._bound(first.distinct()), "star")
+        one = components(star)
         labelled = self.met.select("h", "cls", "n").join(one.select(F.col("node").alias("cls"), "component"), "cls", "left").select("h", "cls", "n", F.coalesce("component", "cls").alias("comp"))
         apart = materialise(labelled.repartition(self.tasks, "h").mapInArrow(_apart, "h bigint, cls bigint, n bigint, comp bigint"), "apart")
-        signed = apart.join(self.sizes.select("cls", "sig"), "cls").select("h", "cls", "n", "comp", "sig").repartition(self.tasks, "h")
+        signed = apart.join(self.sizes.select("cls", "sig"), "cls").select("h", "n", "comp", "sig").repartition(self.tasks, "h")
         more = signed.mapInArrow(_tiles(num, den), "a bigint, b bigint").distinct()
-        extra = self._verify(more)
-        self.links = materialise(self.links.union(extra), "links")
-        self.components = components(self.links)
+        families = components(star.union(more))
+        self._family_links(families)
 
     def _bound(self, pairs: DataFrame) -> DataFrame:
         s = self.sizes.drop("digest")
         both = pairs.join(s.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(s.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
         return both.mapInArrow(_bounded(self.num, self.den), "a bigint, b bigint")
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets, made again from the texts of one document of each class, do overlap enough."""
-        pairs = materialise(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        keys = materialise(ends.join(self.classes, "cls").select("cls", "d", "digest"), "ends")
-        kind = self.docs.schema["d"].dataType.simpleString()
-        ids = keys.select(F.col("d").alias("w")).distinct()
-        if keys.count() * 64 <= self.broadcast_bytes:
-            ids = F.broadcast(ids)
+    def _family_links(self, families: DataFrame) -> None:
+        """``links`` and ``components`` from the families (node, component)."""
+        sized = families.select(F.col("node").alias("cls"), F.col("component").alias("family")).join(self.sizes.select("cls", "n"), "cls")
+        tiles = sized.groupBy("family").agg(F.ceil(F.sum("n") / TILE_ELEMENTS).alias("tiles"))
+        placed = sized.join(tiles, "family").withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("cls"), "tiles")).otherwise(F.lit(0)).cast("bigint"))
+        self.placed = materialise(placed.join(self.classes, "cls").select("cls", "n", "family", "tiles", "tile", "d", "digest"), "placed")
+        alone = self.placed.select("cls", "n", "family", "tile", F.col("tile").alias("low"), F.col("tile").alias("high"), F.lit(0).cast("bigint").alias("comp"), "d", "digest")
+        self.links = materialise(self._tested(alone, False), "verified")
+        self.components = components(self.links)
+        for first_only in (True, False):
+            if not self.placed.where("tiles > 1").limit(1).count():
+                break
+            comp = self.placed.join(self.components.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+            each = comp.where("tiles > 1").groupBy("family", "tile").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+            low, high = (each.select("family", F.col("tile").alias(t), F.col("least").alias(f"{t}_least"), F.col("most").alias(f"{t}_most")) for t in ("low", "high"))
+            pairs = low.join(high, "family").where("low < high and not (low_least = low_most and high_least = high_most and low_least = high_least)")
+            pairs = (pairs.where("low = 0") if first_only else pairs).select("family", "low", "high")
+            met = comp.join(pairs, "family").where("tile = low or tile = high").select("cls", "n", "family", "tile", "low", "high", "comp", "d", "digest")
+            self.links = materialise(self.links.union(self._tested(materialise(met, "met"), True)), "verified")
+            self.components = components(self.links)
+
+    def _tested(self, rows: DataFrame, across: bool) -> DataFrame:
+        """Links among the sets, made again from the texts, of one document of each class."""
+        elements = rows.agg(F.sum("n")).first()[0] or 0
+        tasks = max(1, math.ceil(elements / TILE_ELEMENTS))
+        keys, ids = rows.drop("d", "n"), rows.select(F.col("d").alias("w")).distinct()
+        if rows.count() * 128 <= self.broadcast_bytes:
+            keys, ids = F.broadcast(keys), F.broadcast(ids)
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,10 +400,8 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) if x else None for x in own], pa.binary()), pa.array(own, pa.binary())], ["digest", "set"])
 
         texts = self.docs.join(ids, F.col("d").eqNullSafe(F.col("w")), "left_semi").select("t")
-        made = texts.mapInArrow(run, "digest binary, set binary")
-        found = materialise(keys.join(made, "digest").groupBy("cls").agg(F.first("set").alias("set")), "sets")
-        both = pairs.join(found.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(found.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-        return materialise(both.mapInArrow(_exact(self.num, self.den), "a bigint, b bigint"), "verified")
+        made = texts.mapInArrow(run, "digest binary, set binary").join(keys, "digest").drop("digest")
+        return made.repartition(tasks, "family", "low", "high").mapInArrow(_links(self.num, self.den, across), "a bigint, b bigint")
 
     def members(self) -> DataFrame:
         """One row per document: its key ``d``, set size ``n`` and ``component``, the smallest key of its component."""
