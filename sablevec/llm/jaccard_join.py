@@ -4,8 +4,9 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Equal se
 
 1. Shingles that many documents hold are counted over all documents; they go last in the global order, the rest
    is ordered by hash. (Which ones are taken for frequent changes the work, never the result.)
-2. Two sets at or above the threshold share one of the first ``n - ceil(t n) + 1`` elements in that order. These
-   meet by element; elements of a single class fall away.
+2. Two sets at or above the threshold share one of the first ``n - ceil(t n) + 1`` elements in that order, and it
+   is among the first ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller one. These meet by element; what meets no
+   other class of fitting size and rank falls away.
 3. The classes of an element are cut into bands by size: a band's first class is the candidate of all its band.
    Each class keeps the candidate it met most often. Candidates that pass the bitmap bound (differing bits bound
    the difference from below, so the overlap from above) make first families. Classes of an element in different
@@ -148,8 +149,18 @@ def _gather(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
     return [np.concatenate(g) if g else np.zeros(0, np.int64) for g in got]
 
 
+def _partnered(group: np.ndarray, n: np.ndarray, early: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of rows sorted by group and size: those with a partner of fitting size, the smaller of the two being early."""
+    at = np.arange(len(group))
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), at, 0)) if len(at) else at
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(early, at, -1))[:-1]]) if len(at) else at
+    ok = (before >= begin) & (den * n[before] >= num * n)
+    ok[:-1] |= early[:-1] & (group[1:] == group[:-1]) & (den * n[:-1] >= num * n[1:])
+    return ok
+
+
 def _meet(num: int, den: int):
-    """Keep elements of two classes or more; band each by size and name the band's first class."""
+    """Keep rows with a partner; band each element's classes by size and name the band's first class. Sizes of rows that aren't early are negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, cls, n = _gather(batches, "h", "cls", "n")
@@ -159,14 +170,16 @@ def _meet(num: int, den: int):
         same[1:-1] = s[1:] == s[:-1]
         order = order[same[1:] | same[:-1]]
         h, cls, n = h[order], cls[order], n[order]
-        order = np.lexsort((cls, n, h))
+        order = np.lexsort((cls, np.abs(n), h))
+        order = order[_partnered(h[order], np.abs(n[order]), n[order] > 0, num, den)]
         h, cls, n = h[order], cls[order], n[order]
+        size = np.abs(n)
         lead = np.zeros(len(h), np.int64)
         open_ = np.arange(len(h))
         while len(open_):  # a band a round, for all elements at once
             begin = np.concatenate([[True], h[open_][1:] != h[open_][:-1]])
             top = open_[np.maximum.accumulate(np.where(begin, np.arange(len(open_)), 0))]
-            inside = den * n[top] >= num * n[open_]
+            inside = den * size[top] >= num * size[open_]
             lead[open_[inside]] = cls[top[inside]]
             open_ = open_[~inside]
         for at in range(0, len(h), 1 << 18):
@@ -176,18 +189,23 @@ def _meet(num: int, den: int):
     return run
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of elements whose classes are in two components or more."""
-    h, cls, n, comp = _gather(batches, "h", "cls", "n", "comp")
-    order = np.argsort(h, kind="stable")
-    h, cls, n, comp = h[order], cls[order], n[order], comp[order]
-    if len(h):
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.concatenate([first, [len(h)]]))
-        keep = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), size)
-        for at in range(0, len(h), 1 << 18):
-            cut = slice(at, at + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(x[cut][keep[cut]]) for x in (h, cls, n, comp)], ["h", "cls", "n", "comp"])
+def _apart(num: int, den: int):
+    """Rows of elements whose classes are in two families or more, and that have a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, cls, n, comp = _gather(batches, "h", "cls", "n", "comp")
+        order = np.lexsort((cls, np.abs(n), h))
+        h, cls, n, comp = h[order], cls[order], n[order], comp[order]
+        if len(h):
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.concatenate([first, [len(h)]]))
+            keep = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), size)
+            keep &= _partnered(h, np.abs(n), n > 0, num, den)
+            for at in range(0, len(h), 1 << 18):
+                cut = slice(at, at + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut][keep[cut]]) for x in (h, cls, n, comp)], ["h", "cls", "n", "comp"])
+
+    return run
 
 
 class Labels:
@@ -207,9 +225,9 @@ class Labels:
 def _tiles(num: int, den: int):
     """Families that one element's classes connect, sizes and bitmaps allowing: spanning pairs, found tile by tile."""
 
-    def group(n, comp, sig) -> Iterator[tuple[int, int]]:
-        order = np.argsort(n, kind="stable")
-        n, sig = n[order], [sig[i] for i in order]
+    def group(cls, n, comp, sig) -> Iterator[tuple[int, int]]:
+        order = np.lexsort((cls, np.abs(n)))
+        early, n, sig = n[order] > 0, np.abs(n[order]), [sig[i] for i in order]
         names, comp = np.unique(comp[order], return_inverse=True)
         labels = Labels(len(names))
         wide = np.array([len(x) for x in sig])
@@ -220,7 +238,7 @@ def _tiles(num: int, den: int):
             for j in range(i, top, TILE):
                 b = np.arange(j, min(j + TILE, top))
                 la, lb = labels.of[comp[a]], labels.of[comp[b]]
-                x, y = np.nonzero((la[:, None] != lb[None]) & (den * n[a][:, None] >= num * n[b][None]) & (a[:, None] < b[None]))
+                x, y = np.nonzero((la[:, None] != lb[None]) & (den * n[a][:, None] >= num * n[b][None]) & (a[:, None] < b[None]) & early[a][:, None])
                 if not len(x):
                     continue
                 bits = 8 * int(wide[i])
@@ -235,13 +253,13 @@ def _tiles(num: int, den: int):
                             yield int(names[u]), int(names[v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n, comp, sig = _gather(batches, "h", "n", "comp", "sig")
+        h, cls, n, comp, sig = _gather(batches, "h", "cls", "n", "comp", "sig")
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else []
         pairs: set[tuple[int, int]] = set()
         for lo, hi in zip(first, [*first[1:], len(h)], strict=True):
             at = order[lo:hi]
-            pairs.update((min(p), max(p)) for p in group(n[at], comp[at], [sig[i] for i in at]))
+            pairs.update((min(p), max(p)) for p in group(cls[at], n[at], comp[at], [sig[i] for i in at]))
         columns = list(zip(*sorted(pairs), strict=True)) if pairs else [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
@@ -344,15 +362,19 @@ class Join:
         self.sizes = self.table.select(F.col("rid").alias("cls"), "n", "sig", "digest")
         rows = self.table.agg(F.sum(F.size("head"))).first()[0] or 0
         self.tasks = max(1, math.ceil(rows / TASK_ROWS))
-        spread = reps.select(F.explode("head").alias("h"), "cls", "n").repartition(self.tasks, "h")
+        early = F.expr(f"n - (2 * {num} * n + {num + den - 1}) div {num + den} + 1")
+        spread = reps.select(F.posexplode("head").alias("pos", "h"), "cls", "n").select("h", "cls", F.when(F.col("pos") < early, F.col("n")).otherwise(-F.col("n")).alias("n")).repartition(self.tasks, "h")
         self.met = materialise(spread.mapInArrow(_meet(num, den), "h bigint, cls bigint, n bigint, lead bigint"), "met")
         first = self.met.where("lead <> cls").groupBy("cls", "lead").agg(F.count("*").alias("times"))
         first = first.groupBy("cls").agg(F.max(F.struct("times", "lead")).alias("m")).select(F.least("cls", "m.lead").alias("a"), F.greatest("cls", "m.lead").alias("b"))
         star = materialise(self._bound(first.distinct()), "star")
         one = components(star)
-        labelled = self.met.select("h", "cls", "n").join(one.select(F.col("node").alias("cls"), "component"), "cls", "left").select("h", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-        apart = materialise(labelled.repartition(self.tasks, "h").mapInArrow(_apart, "h bigint, cls bigint, n bigint, comp bigint"), "apart")
-        signed = apart.join(self.sizes.select("cls", "sig"), "cls").select("h", "n", "comp", "sig").repartition(self.tasks, "h")
+        named = one.select(F.col("node").alias("cls"), "component")
+        if named.count() * 64 <= broadcast_bytes:
+            named = F.broadcast(named)
+        labelled = self.met.select("h", "cls", "n").join(named, "cls", "left").select("h", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+        self.apart = apart = materialise(labelled.repartition(self.tasks, "h").mapInArrow(_apart(num, den), "h bigint, cls bigint, n bigint, comp bigint"), "apart")
+        signed = apart.join(self.sizes.select("cls", "sig"), "cls").select("h", "cls", "n", "comp", "sig").repartition(self.tasks, "h")
         more = signed.mapInArrow(_tiles(num, den), "a bigint, b bigint").distinct()
         families = components(star.union(more))
         self._family_links(families)
