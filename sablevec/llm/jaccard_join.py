@@ -358,7 +358,10 @@ class Join:
         self.table = materialise(_signatures(self.docs, k, num, den, hot).withColumn("rid", F.monotonically_increasing_id()), "signatures")
         classes = self.table.where("n > 0").groupBy("digest").agg(F.min("rid").alias("cls"), F.min("d").alias("d"), F.count("*").alias("copies"))
         self.classes = materialise(classes, "classes")
-        reps = self.classes.select("cls").join(self.table.select(F.col("rid").alias("cls"), "n", "head"), "cls")
+        first_rows = self.classes.select("cls")
+        if first_rows.count() * 64 <= broadcast_bytes:
+            first_rows = F.broadcast(first_rows)
+        reps = self.table.select(F.col("rid").alias("cls"), "n", "head").join(first_rows, "cls", "left_semi")
         self.sizes = self.table.select(F.col("rid").alias("cls"), "n", "sig", "digest")
         rows = self.table.agg(F.sum(F.size("head"))).first()[0] or 0
         self.tasks = max(1, math.ceil(rows / TASK_ROWS))
