@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,21 @@ RUNTIME = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where their path doesn't hold it yet."""
+    root, sc = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_sablevec_shipped", False):
+        return
+    if sc.master.split("[")[0] == "local":
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH", "")]))
+    else:
+        base = os.path.join(tempfile.mkdtemp(), "sablevec")
+        sc.addPyFile(shutil.make_archive(base, "zip", root, "sablevec"))
+    sc._sablevec_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    ship(spark)
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
     return spark
