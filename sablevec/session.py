@@ -16,6 +16,8 @@ RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     # top-n per posting list keeps thousands of rows; the default stops at 1000
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    # whole texts cross to Python: smaller batches keep workers small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
