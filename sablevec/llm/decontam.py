@@ -142,8 +142,8 @@ def blocks(benchmark: DataFrame, window: int, item: str = "item_id", text: str =
     return [share(Block([(r.i, r.t) for r in b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()], window)) for k in range(n)]
 
 
-def _scan(part: pa.RecordBatch, shared: list, window: int) -> tuple[Words, np.ndarray, list, list]:
-    data, offsets = utf8(part.column("t"))
+def _scan(part: pa.RecordBatch, column: str, shared: list, window: int) -> tuple[Words, np.ndarray, list, list]:
+    data, offsets = utf8(part.column(column))
     w = Words(data, offsets, ALNUM)
     hit = np.zeros(len(w.hash) + 1, np.int32)
     items, matches = [set() for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
@@ -183,13 +183,14 @@ def _longest(matches: list) -> list[dict]:
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = 10, locate: bool = False, **block_args) -> DataFrame:
     """``keep`` columns, n_words, n_hit, the item ids with occurring windows and, if asked, the longest matches."""
     shared = blocks(benchmark, window, **block_args)
-    src = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.col(f"`{text}`").alias("t"))
+    src = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], *([] if text in keep else [F.col(f"`{text}`").alias("t")]))
+    column = f"k{keep.index(text)}" if text in keep else "t"  # a kept text crosses once
     found = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "t"):
-                w, hit, items, matches = _scan(part, shared, window)
+            for part in pieces(batch, column):
+                w, hit, items, matches = _scan(part, column, shared, window)
                 n_hit = np.concatenate([[0], np.cumsum(hit)])
                 made = [pa.array(w.count.astype(np.int64)), pa.array((n_hit[w.first[1:]] - n_hit[w.first[:-1]]).astype(np.int64)), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                 made += [pa.array([_longest(m) for m in matches], found)] if locate else []

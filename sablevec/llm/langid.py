@@ -152,12 +152,13 @@ def score(texts: list, model: dict) -> tuple[list[str], np.ndarray]:
 def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score`` for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.col(f"`{text}`").alias("t"))
+    src = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], *([] if text in keep else [F.col(f"`{text}`").alias("t")]))
+    column = f"k{keep.index(text)}" if text in keep else "t"  # a kept text crosses once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "t"):
-                lang, best = score(part.column("t").to_pylist(), shared.value)
+            for part in pieces(batch, column):
+                lang, best = score(part.column(column).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang), pa.array(best)], [*part.schema.names[: len(keep)], "lang_pred", "score"])
 
     kinds = ", ".join(f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
