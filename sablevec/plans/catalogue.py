@@ -22,6 +22,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def registered(name: str) -> tuple[Query, str | None]:
+    """A query registered so far, and its twin."""
+    return _QUERIES[name], _SQL.get(name)
+
+
 def _load() -> None:
     from sablevec.plans import search_queries, source_queries  # noqa: F401  (they register themselves)
 

@@ -27,6 +27,11 @@ def queries_of(p: DataFrame, n: int = 20) -> DataFrame:
     return p.where(F.col("d") < n).withColumnRenamed("d", "q")
 
 
+def asked_of(p: DataFrame) -> DataFrame:
+    """The whole query set: every vector whose id is divisible by 50."""
+    return p.where(F.col("d") % 50 == 0).withColumnRenamed("d", "q")
+
+
 def words(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
     """Term frequencies of runs of a-z: (d, token, v)."""
     t = table(spark, sf_dir, name)

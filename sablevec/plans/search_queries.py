@@ -1,17 +1,20 @@
 """Registered queries of the index and search operators, with DuckDB twins.
 
-The corpus is the ``embeddings`` table with values over 0.1; the first 20 vectors are the queries. Parameters are
-those that make lists, blocks and cuts all take effect on it.
+The corpus is the ``embeddings`` table with values over 0.1. Each search is registered twice: ``NAME_all`` asks the
+whole query set, every vector whose id is divisible by 50; ``NAME`` asks the first 20 vectors, as its SQL twin says.
+Parameters are those that make lists, blocks and cuts all take effect on it.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sablevec.operators import cluster, graph, index, metrics, order, projection, search, updates
-from sablevec.plans.catalogue import register
-from sablevec.plans.corpora import queries_of, signed_vectors, table, vectors, words
+from sablevec.plans.catalogue import register, registered
+from sablevec.plans.corpora import asked_of, queries_of, signed_vectors, table, vectors, words
 
 K, CUT, HF, PRUNE, SIZE, ENERGY, ALPHA, FRACTION, REPS, SEED = 10, 4, 0.9, 60, 10, 0.4, 0.15, 0.2, 6, 7
 
@@ -77,9 +80,9 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 class Built:
     """The index parts of the test corpus."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, ask=queries_of):
         self.p = vectors(spark, sf_dir)
-        self.q = queries_of(self.p)
+        self.q = ask(self.p)
         self.pruned = index.prune_fixed(self.p, PRUNE)
         self.blocks = index.block_chunks(self.pruned, SIZE)
         self.sizes = index.block_sizes(self.blocks)
@@ -131,9 +134,9 @@ def dot_pairwise(spark, sf_dir):
 
 
 @register("dot_query_doc", sql("SELECT q, d, round(score, 6) score FROM sc"))
-def dot_query_doc(spark, sf_dir):
+def dot_query_doc(spark, sf_dir, ask=queries_of):
     p = vectors(spark, sf_dir)
-    return rounded(search.scores(queries_of(p), p), "score")
+    return rounded(search.scores(ask(p), p), "score")
 
 
 @register("l2_norm", sql("SELECT d, round(sqrt(sum(v * v)), 6) norm FROM p GROUP BY d"))
@@ -176,8 +179,8 @@ def dequantize(spark, sf_dir):
 
 
 @register("quantized_block_scores", sql("SELECT q, c, b, n, round(s, 6) s FROM bs", ("bs", _scores_of("dq"))))
-def quantized_block_scores(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def quantized_block_scores(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     return rounded(search.block_scores(x.q, x.sizes, index.dequantise(index.quantise(x.most())), CUT), "s")
 
 
@@ -233,9 +236,9 @@ SIGNED = [("qs", "SELECT d q, c, v FROM e WHERE d < 20"), ("ss", "SELECT qs.q, e
 
 
 @register("score_abs", sql("SELECT q, d, round(abs(score), 6) score FROM ss", *SIGNED))
-def score_abs(spark, sf_dir):
+def score_abs(spark, sf_dir, ask=queries_of):
     e = signed_vectors(spark, sf_dir)
-    return search.scores(queries_of(e), e).select("q", "d", F.round(F.abs("score"), 6).alias("score"))
+    return search.scores(ask(e), e).select("q", "d", F.round(F.abs("score"), 6).alias("score"))
 
 
 # filters and set operations
@@ -248,8 +251,8 @@ def alive_filter(spark, sf_dir):
 
 
 @register("visited_dedup", sql("SELECT DISTINCT q, bl.d FROM qc JOIN bl USING (c)"))
-def visited_dedup(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def visited_dedup(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     return search.query_cut(x.q, CUT).select("q", "c").join(x.blocks, "c").select("q", "d").distinct()
 
 
@@ -260,24 +263,24 @@ def list_intersection(spark, sf_dir):
 
 
 @register("set_intersection", sql("SELECT a.q, count(*) n FROM ex a JOIN (SELECT d q, c FROM p) b ON a.q = b.q AND a.d = b.c GROUP BY ALL"))
-def set_intersection(spark, sf_dir):
+def set_intersection(spark, sf_dir, ask=queries_of):
     p = vectors(spark, sf_dir)
-    ex = search.exact(queries_of(p), p, K).groupBy("q").agg(F.collect_set("d").alias("a"))
+    ex = search.exact(ask(p), p, K).groupBy("q").agg(F.collect_set("d").alias("a"))
     own = p.groupBy("d").agg(F.collect_set(F.col("c").cast("bigint")).alias("b"))
     return ex.join(own, ex.q == own.d).select("q", F.size(F.array_intersect("a", "b")).cast("bigint").alias("n")).where("n > 0")
 
 
 @register("union_candidates", sql("SELECT q, d FROM ex UNION SELECT q, d FROM (SELECT DISTINCT q, bl.d FROM qc JOIN bl USING (c) WHERE b = 0)"))
-def union_candidates(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def union_candidates(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     first = search.query_cut(x.q, CUT).select("q", "c").join(x.blocks.where("b = 0"), "c").select("q", "d")
     return search.exact(x.q, x.p, K).select("q", "d").union(first).distinct()
 
 
 @register("except_visited", sql("SELECT DISTINCT q, bl.d FROM qc JOIN bl USING (c) EXCEPT SELECT q, d FROM ex"))
-def except_visited(spark, sf_dir):
-    x = Built(spark, sf_dir)
-    return visited_dedup(spark, sf_dir).join(search.exact(x.q, x.p, K).select("q", "d"), ["q", "d"], "left_anti")
+def except_visited(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
+    return visited_dedup(spark, sf_dir, ask).join(search.exact(x.q, x.p, K).select("q", "d"), ["q", "d"], "left_anti")
 
 
 @register("param_grid", "SELECT cut::INT cut, hf::DOUBLE hf FROM (SELECT unnest([3, 4, 5, 8]) cut), (SELECT unnest([0.7, 0.8, 0.9]) hf)")
@@ -304,8 +307,8 @@ def posting_counts(spark, sf_dir):
 
 
 @register("query_cut", sql("SELECT q, c, v FROM qc"))
-def query_cut(spark, sf_dir):
-    return search.query_cut(queries_of(vectors(spark, sf_dir)), CUT)
+def query_cut(spark, sf_dir, ask=queries_of):
+    return search.query_cut(ask(vectors(spark, sf_dir)), CUT)
 
 
 @register("doc_cut", sql("SELECT d, c, v FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY v DESC, c) r FROM p) WHERE r <= 5"))
@@ -440,8 +443,8 @@ def block_radius(spark, sf_dir):
 
 
 @register("block_scores", sql("SELECT q, c, b, n, round(s, 6) s FROM bs", ("bs", _scores_of("mx"))))
-def block_scores(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def block_scores(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     return rounded(search.block_scores(x.q, x.sizes, x.most(), CUT), "s")
 
 
@@ -451,20 +454,20 @@ def block_membership(spark, sf_dir):
 
 
 @register("exact_topk", sql(RESULT + "ex"))
-def exact_topk(spark, sf_dir):
+def exact_topk(spark, sf_dir, ask=queries_of):
     p = vectors(spark, sf_dir)
-    return result(search.exact(queries_of(p), p, K))
+    return result(search.exact(ask(p), p, K))
 
 
 @register("exact_topk_signed", sql(RESULT + f"(SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) rank FROM ss) WHERE rank <= {K}", *SIGNED))
-def exact_topk_signed(spark, sf_dir):
+def exact_topk_signed(spark, sf_dir, ask=queries_of):
     e = signed_vectors(spark, sf_dir)
-    return result(search.exact(queries_of(e), e, K))
+    return result(search.exact(ask(e), e, K))
 
 
 def _survivors(summary: str, **how):
-    def run(spark, sf_dir):
-        x = Built(spark, sf_dir)
+    def run(spark, sf_dir, ask=queries_of):
+        x = Built(spark, sf_dir, ask)
         s = x.most() if summary == "max" else x.mean()
         scored = search.block_scores(x.q, x.sizes, s, CUT)
         first = search.score_pairs(search.seed_blocks(scored, K).join(x.blocks, ["c", "b"]).select("q", "d"), x.q, x.p)
@@ -481,27 +484,27 @@ register("skip_centroid_alpha", sql("SELECT q, c, b FROM sv", *ann_parts("mn", W
 
 
 @register("ann_search_max", sql(RESULT + "an", *ann_parts("mx", PLAIN)))
-def ann_search_max(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def ann_search_max(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     return result(x.approximate(x.most()))
 
 
 @register("ann_search_centroid_count", sql(RESULT + "an", *ann_parts("mn", COUNT)))
-def ann_search_centroid_count(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def ann_search_centroid_count(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     return result(x.approximate(x.mean(), by_count=True))
 
 
 @register("ann_search_centroid_alpha", sql(RESULT + "an", *ann_parts("mn", WIDE)))
-def ann_search_centroid_alpha(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def ann_search_centroid_alpha(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     s = x.mean()
     return result(x.approximate(s, radii=index.radius(x.blocks, s, x.p), alpha=ALPHA))
 
 
 @register("ann_search_quantized", sql(RESULT + "an", *ann_parts("dq", PLAIN)))
-def ann_search_quantized(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def ann_search_quantized(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     return result(x.approximate(index.dequantise(index.quantise(x.most()))))
 
 
@@ -514,16 +517,16 @@ def token_search(spark, sf_dir):
 
 
 @register("batch_search", sql("SELECT q, count(*) n, round(max(score), 6) best, count(*) >= 10 AS filled FROM an GROUP BY q", *ann_parts("mx", PLAIN)))
-def batch_search(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def batch_search(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     return x.approximate(x.most()).groupBy("q").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), (F.count("*") >= K).alias("filled"))
 
 
 @register("result_ranks", sql("SELECT q, list(d ORDER BY rank)[1] first, list(d ORDER BY rank)[10] last FROM ex GROUP BY q"))
-def result_ranks(spark, sf_dir):
+def result_ranks(spark, sf_dir, ask=queries_of):
     p = vectors(spark, sf_dir)
     at = F.col("rank")
-    return search.exact(queries_of(p), p, K).groupBy("q").agg(F.max(F.when(at == 1, F.col("d"))).alias("first"), F.max(F.when(at == K, F.col("d"))).alias("last"))
+    return search.exact(ask(p), p, K).groupBy("q").agg(F.max(F.when(at == 1, F.col("d"))).alias("first"), F.max(F.when(at == K, F.col("d"))).alias("last"))
 
 
 # graph
@@ -548,8 +551,8 @@ REFINE = [
 
 
 @register("knn_refine", sql(RESULT + f"(SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) rank FROM ka) WHERE rank <= {K}", *ann_parts("mx", PLAIN), *KNN, *REFINE))
-def knn_refine(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def knn_refine(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     return result(graph.refine(x.approximate(x.most()), x.q, x.p, graph.build(x.p, 5), 3, K))
 
 
@@ -646,18 +649,18 @@ def resize_compact(spark, sf_dir):
 
 
 @register("search_after_delete", sql(RESULT + "an", ("pl", "SELECT * FROM p WHERE d % 7 <> 3"), ("bd", "SELECT * FROM bl WHERE d % 7 <> 3"), *ann_parts("mx", PLAIN, "pl", "bd")))
-def search_after_delete(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def search_after_delete(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     gone = x.p.where("d % 7 = 3").select("d").distinct()
     return result(search.approximate(x.q, updates.alive(x.p, gone), updates.compact(x.blocks, gone), x.sizes, x.most(), K, CUT, HF))
 
 
 @register("churn_rounds")
-def churn_rounds(spark, sf_dir):
+def churn_rounds(spark, sf_dir, ask=queries_of):
     """Rounds of deletes over documents that are no queries: recall of the approximate search against the exact one."""
-    x = Built(spark, sf_dir)
+    x = Built(spark, sf_dir, ask)
     summary, gone, out = x.most(), x.p.where("false").select("d"), None
-    ids = x.p.where("d >= 20").select("d").distinct().withColumn("h", F.md5(F.concat_ws(":", F.lit("12345"), F.col("d").cast("string"))))
+    ids = x.p.select("d").distinct().join(x.q.select(F.col("q").alias("d")).distinct(), "d", "left_anti").withColumn("h", F.md5(F.concat_ws(":", F.lit("12345"), F.col("d").cast("string"))))
     ranked = order.numbered(ids, "h", "r").select("d", F.col("r") + 1).toDF("d", "r")
     for i in range(3):
         gone = ranked.where(F.col("r") <= 40 * i).select("d")
@@ -714,8 +717,8 @@ _JLT_ANN = [(n, "SELECT qc.q, bn.c, bn.b, bn.n, coalesce(sum(jq.v * s.v), 0) s F
 
 
 @register("ann_search_jlt", sql(RESULT + "an", *JLT, *JLT_BLOCKS, *_JLT_ANN))
-def ann_search_jlt(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def ann_search_jlt(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     m = projection.matrix(spark, 64, JLT_K, JLT_S, SEED)
     s = projection.transform(x.most(), m, ["c", "b"], component="c2").withColumnRenamed("r", "c2")
     asked = projection.transform(x.q, m, ["q"]).withColumnRenamed("r", "c")
@@ -750,8 +753,8 @@ LOOSE = [
 
 
 @register("bound_looseness", sql("SELECT count(*) n, round(avg((dot + sqrt(q2) * radius) / t), 6) plain, round(avg((dot + sqrt(qr) * radius) / t), 6) restricted, round(avg(maxsum / t), 6) maxsum, count(*) FILTER (WHERE dot + sqrt(qr) * radius + 1e-3 < t OR maxsum + 1e-3 < t) violations FROM um JOIN tm USING (q, c, b) WHERE t > 1e-6", *UNCUT, *LOOSE))
-def bound_looseness(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def bound_looseness(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     mean, full = index.summarise(x.blocks, x.p, "mean"), index.summarise(x.blocks, x.p, "max").withColumnRenamed("v", "most")
     radii = residuals(x.blocks, mean, x.p).groupBy("c", "b").agg(F.max("res").alias("radius"))
     lists = search.query_cut(x.q, CUT).select("q", "c")
@@ -778,20 +781,43 @@ def upper_median(spark, sf_dir):
 
 
 @register("recall_at_k", sql("SELECT count(an.d) hits, count(*) relevant, count(an.d) / count(*) recall FROM ex LEFT JOIN an ON an.q = ex.q AND an.d = ex.d", *ann_parts("mx", PLAIN)))
-def recall_at_k(spark, sf_dir):
-    x = Built(spark, sf_dir)
+def recall_at_k(spark, sf_dir, ask=queries_of):
+    x = Built(spark, sf_dir, ask)
     return metrics.recall(search.exact(x.q, x.p, K), x.approximate(x.most()))
 
 
 @register("rr_at_k", sql("SELECT round(avg(coalesce(1 / r, 0)), 6) rr FROM (SELECT DISTINCT q FROM q) LEFT JOIN (SELECT ex.q, min(rank) r FROM ex JOIN embeddings a ON a.vec_id = ex.q JOIN embeddings b ON b.vec_id = ex.d WHERE a.label = b.label AND ex.q <> ex.d GROUP BY ALL) USING (q)"))
-def rr_at_k(spark, sf_dir):
+def rr_at_k(spark, sf_dir, ask=queries_of):
     p = vectors(spark, sf_dir)
     l = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = l.where("vec_id < 20").select(F.col("vec_id").alias("q"), "label")
+    asked = l.join(ask(p).select("q").distinct(), F.col("vec_id") == F.col("q")).select("q", "label")
     qrels = asked.join(l, "label").where("q <> vec_id").select("q", F.col("vec_id").alias("d"), F.lit(1).alias("relevance"))
-    return rounded(metrics.reciprocal_rank(search.exact(queries_of(p), p, K), qrels), "rr")
+    return rounded(metrics.reciprocal_rank(search.exact(ask(p), p, K), qrels), "rr")
 
 
 @register("space_bytes", sql("SELECT count(DISTINCT d) vectors, max(c) + 1 dim, count(*) nnz, (8 * (count(DISTINCT d) + 1) + 6 * count(*) + 8 + count(DISTINCT d))::BIGINT bytes FROM p"))
 def space_bytes(spark, sf_dir):
     return metrics.corpus_bytes(vectors(spark, sf_dir), mutable=True)
+
+
+# the same searches over the whole query set
+
+#: Every search above that takes a query set.
+SEARCHES = (
+    "exact_topk", "exact_topk_signed", "dot_query_doc", "score_abs", "query_cut", "block_scores", "quantized_block_scores", "visited_dedup",
+    "union_candidates", "except_visited", "set_intersection", "skip_max_threshold", "skip_centroid_count", "skip_centroid_alpha",
+    "ann_search_max", "ann_search_centroid_count", "ann_search_centroid_alpha", "ann_search_quantized", "ann_search_jlt", "batch_search",
+    "result_ranks", "knn_refine", "search_after_delete", "churn_rounds", "bound_looseness", "recall_at_k", "rr_at_k",
+)
+
+
+def asking_all(twin: str | None) -> str | None:
+    """A twin with the whole query set in place of the first 20 vectors."""
+    for source in ("p", "e") if twin else ():
+        twin = twin.replace(f"SELECT d q, c, v FROM {source} WHERE d < 20", f"SELECT d q, c, v FROM {source} WHERE d % 50 = 0")
+    return twin
+
+
+for _name in SEARCHES:
+    _run, _twin = registered(_name)
+    register(f"{_name}_all", asking_all(_twin))(partial(_run, ask=asked_of))
