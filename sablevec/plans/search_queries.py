@@ -821,3 +821,79 @@ def asking_all(twin: str | None) -> str | None:
 for _name in SEARCHES:
     _run, _twin = registered(_name)
     register(f"{_name}_all", asking_all(_twin))(partial(_run, ask=asked_of))
+
+
+# the vector queries over whole tables; those of the same name without _all keep the few ids of their SQL twins
+
+NEXT = "FROM (SELECT DISTINCT d FROM p WHERE d + 1 IN (SELECT d FROM p))"
+
+
+def consecutive(p: DataFrame) -> DataFrame:
+    """(x, y) of all vectors whose successor by id is there too."""
+    ids = p.select("d").distinct()
+    return ids.select(F.col("d").alias("x"), (F.col("d") + 1).alias("y")).join(ids.withColumnRenamed("d", "y"), "y", "left_semi").select("x", "y")
+
+
+def over_all(name: str, *swaps: tuple[str, str]) -> str:
+    """The twin of ``name`` with its id filters replaced."""
+    twin = registered(name)[1]
+    for a, b in swaps:
+        if a not in twin:
+            raise ValueError(f"{name} has no {a!r}")
+        twin = twin.replace(a, b)
+    return twin
+
+
+ASKED = ("a.d < 20 AND b.d < 20 AND a.d < b.d", "a.d % 50 = 0 AND a.d <> b.d")
+
+
+@register("dot_pairwise_all", over_all("dot_pairwise", ASKED))
+def dot_pairwise_all(spark, sf_dir):
+    p = vectors(spark, sf_dir)
+    s = search.scores(asked_of(p), p).where("q <> d")
+    return s.select(F.col("q").alias("x"), F.col("d").alias("y"), F.round("score", 6).alias("dot"))
+
+
+@register("euclidean_pairs_all", over_all("euclidean_pairs", ASKED))
+def euclidean_pairs_all(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = search.small(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("x"), F.col("v").alias("w")))
+    both = e.join(asked, F.col("x") != F.col("vec_id"))
+    dist = F.expr("sqrt(aggregate(zip_with(w, v, (i, j) -> pow(coalesce(i, 0D) - coalesce(j, 0D), 2)), 0D, (t, s) -> t + s))")
+    return both.select("x", F.col("vec_id").alias("y"), F.round(dist, 6).alias("dist"))
+
+
+@register("residual_norm_all", over_all("residual_norm", ("FROM (SELECT DISTINCT d FROM p WHERE d < 50)", NEXT)))
+def residual_norm_all(spark, sf_dir):
+    p = vectors(spark, sf_dir)
+    return rounded(projection.distances(p, consecutive(p)), "dist")
+
+
+@register("densify_all", over_all("densify", (" WHERE d < 50", "")))
+def densify_all(spark, sf_dir):
+    from sablevec.functions.vectors import dense
+
+    f = index.fold(vectors(spark, sf_dir))
+    return f.select(F.col("doc_id").alias("d"), F.posexplode(dense("components", "values", 64)).alias("c", "v"))
+
+
+@register("jlt_distortion_all", over_all("jlt_distortion", ("FROM (SELECT DISTINCT d FROM p WHERE d < 50)", NEXT)))
+def jlt_distortion_all(spark, sf_dir):
+    p = vectors(spark, sf_dir)
+    pairs = consecutive(p)
+    y = projection.transform(p, projection.matrix(spark, 64, JLT_K, JLT_S, SEED), ["d"]).withColumnRenamed("r", "c")
+    both = projection.distances(p, pairs).join(projection.distances(y, pairs).withColumnRenamed("dist", "seen"), ["x", "y"])
+    return both.where("dist > 1e-10").agg(F.round(F.avg(F.abs(F.col("seen") - F.col("dist")) / F.col("dist")), 6).alias("distortion"))
+
+
+@register("list_intersection_all", over_all("list_intersection", ("a.c < 8 AND b.c < 8 AND ", "")))
+def list_intersection_all(spark, sf_dir):
+    p = vectors(spark, sf_dir)
+    return p.select("d", F.col("c").alias("x")).join(p.select("d", F.col("c").alias("y")), "d").where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+@register("docname_remap_all", over_all("docname_remap", (" WHERE doc_id % 2 = 0", "")))
+def docname_remap_all(spark, sf_dir):
+    names = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("name"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("d"))
+    return e.join(names, F.col("d") == F.col("doc_id"), "left").select("d", F.coalesce("name", F.col("d").cast("string")).alias("name"))
