@@ -43,24 +43,31 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def feistel(value: str, left: str, right: str, tweak: str, key: str) -> str:
-    """SQL that permutes ``value``, a bigint in [0, left * right), under the key and tweak."""
+def _network(l: str, r: str, left: str, right: str, tweak: str, key: str) -> str:
+    """SQL for the halves ``l`` and ``r``, in [0, left) and [0, right), after all rounds: a struct of both."""
 
     def f(x: str) -> str:
         return f"cast(conv(substr(sha2(concat_ws(':', {_q(key)}, {tweak}, cast(i as string), cast({x} as string)), 256), 1, 14), 16, 10) as bigint)"
 
-    return f"""aggregate(sequence(1, {ROUNDS}), struct(({value}) div ({right}) as l, ({value}) % ({right}) as r),
+    return f"""aggregate(sequence(1, {ROUNDS}), struct({l} as l, {r} as r),
         (s, i) -> case when i % 2 = 1 then struct((s.l + {f("s.r")} % ({left})) % ({left}) as l, s.r as r)
-                       else struct(s.l as l, (s.r + {f("s.l")} % ({right})) % ({right}) as r) end,
-        s -> s.l * ({right}) + s.r)"""
+                       else struct(s.l as l, (s.r + {f("s.l")} % ({right})) % ({right}) as r) end)"""
+
+
+def feistel(value: str, left: str, right: str, tweak: str, key: str) -> str:
+    """SQL that permutes ``value``, a bigint in [0, left * right), under the key and tweak."""
+    made = _network(f"({value}) div ({right})", f"({value}) % ({right})", left, right, tweak, key)
+    return _let(made, "hs", f"hs.l * ({right}) + hs.r")
 
 
 def _digits(text: str, tweak: str, key: str) -> str:
-    """A string of 2 to 18 digits permuted among those of its length."""
+    """A string of 2 to 30 digits permuted among those of its length; each half of it fits a bigint."""
     d = "dd"
-    left, right = f"cast(pow(10, length({d}) div 2) as bigint)", f"cast(pow(10, length({d}) - length({d}) div 2) as bigint)"
-    made = feistel(f"cast({d} as bigint)", "hl", "hr", f"concat({_q(tweak)}, length({d}))", key)
-    return _let(text, d, _let(left, "hl", _let(right, "hr", f"lpad(cast({made} as string), length({d}), '0')")))
+    nl, nr = f"(length({d}) div 2)", f"(length({d}) - length({d}) div 2)"
+    left, right = f"cast(pow(10, {nl}) as bigint)", f"cast(pow(10, {nr}) as bigint)"
+    made = _network(f"cast(left({d}, cast({nl} as int)) as bigint)", f"cast(right({d}, cast({nr} as int)) as bigint)", "hl", "hr", f"concat({_q(tweak)}, length({d}))", key)
+    joined = _let(made, "hs", f"concat(lpad(cast(hs.l as string), cast({nl} as int), '0'), lpad(cast(hs.r as string), cast({nr} as int), '0'))")
+    return _let(text, d, _let(left, "hl", _let(right, "hr", joined)))
 
 
 def _refill(m: str, d: str) -> str:
@@ -94,7 +101,7 @@ def _rules(key: str) -> dict[str, tuple[str, str]]:
     ssn = feistel(f"(({area} * 99 + cast(substr(m, 5, 2) as bigint) - 1) * 9999 + cast(substr(m, 8, 4) as bigint) - 1)", "88902", "9999", "'ssn'", key)
     free = "case when m like '+%' then regexp_replace(regexp_extract(m, '^[+][0-9]{1,3}(?=[^0-9]|$)', 0), '[^0-9]', '') else '' end"
     plain = "replace(m, ' ', '')"
-    body = _let(f"substr({plain}, 5)", "y", _let("regexp_replace(y, '[^0-9]', '')", "q", _let(f"case when length(q) > 1 then concat({_digits('left(q, 18)', 'iban', key)}, substr(q, 19)) else q end", "n", _refill("y", "n"))))
+    body = _let(f"substr({plain}, 5)", "y", _let("regexp_replace(y, '[^0-9]', '')", "q", _let(f"case when length(q) > 1 then {_digits('q', 'iban', key)} else q end", "n", _refill("y", "n"))))
     spaced = """aggregate(split(m, ''), struct('' as o, 1 as p), (s, c) -> case when c = ' ' then struct(concat(s.o, c) as o, s.p as p)
         else struct(concat(s.o, substr(z, s.p, 1)) as o, s.p + 1 as p) end, s -> s.o)"""
     iban = _let(body, "b", _let(f"concat(substr(m, 1, 2), lpad(cast(98 - {_mod97("concat(b, substr(m, 1, 2), '00')")} as string), 2, '0'), b)", "z", spaced))

@@ -125,6 +125,20 @@ def test_feistel_is_a_permutation(spark):
     assert digits.distinct().count() == 1000 and digits.where("length(y) <> 3").count() == 0
 
 
+def test_pii_permutes_long_ibans_whole(spark):
+    def iban(country, body):
+        return f"{country}{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}{body}"
+
+    given = [iban("HU", f"{n:024d}") for n in (117730161111101800000000, 117730161111101800000001, 117730161111101800000020)] + [iban("ES", "21000418450200051332"), iban("LC", "HEMM" + "000100010012001200023015")]
+    new = [r.text for r in pii.report(frame(spark, given), "key").orderBy("doc_id").collect()]
+    for a, b in zip(given, new, strict=True):
+        assert len(a) == len(b) and a[:2] == b[:2] and int("".join(str(int(c, 36)) for c in b[4:] + b[:4])) % 97 == 1
+        assert a[-6:] != b[-6:] and a[4:24] != b[4:24]
+    assert all(x[4:22] != y[4:22] for i, x in enumerate(new[:3]) for y in new[:i])
+    long = spark.range(2000).select(F.expr(pii._digits("concat('9', lpad(cast(id as string), 29, '0'))", "t", "k")).alias("y"))
+    assert long.distinct().count() == 2000 and long.where("length(y) <> 30 or y rlike '[^0-9]'").count() == 0
+
+
 # 3
 
 
