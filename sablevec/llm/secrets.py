@@ -3,8 +3,10 @@
 Base matches (``assign``, ``access``, ``hex``) always stay. A generic candidate is a run of 20 or more key
 characters that mixes upper case, lower case and digits and overlaps no base match. The hash of every
 candidate value is counted over the whole corpus by distinct repositories and owners: a value that more than
-``max_owners`` owners or ``max_repos`` repositories hold is a widely copied example, any other is taken for a
-live credential. Live generic candidates are added to the spans as kind ``live``.
+``max_owners`` owners hold is a widely copied example, any other is taken for a live credential, however many
+repositories of its owners hold it. Only repositories without an owner (null or empty) are counted themselves:
+nobody knows how many owners they have, so a value in more than ``max_repos`` of them is an example too. Live
+generic candidates are added to the spans as kind ``live``.
 
 Defined results: null text is empty; a text without matches has zero counts, the hash of the empty string and
 empty spans; repeated rows each get their own result and count once per repository; other columns of the input
@@ -76,10 +78,10 @@ def scan(docs: DataFrame, text: str = "text", owner: str | None = "source", repo
     # distinct repositories of each owner first: a value that a third of all rows hold is reduced before it meets in one row
     pair = each.groupBy("vh", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).agg(F.lit(1).alias("one"))
     by_owner = pair.groupBy("vh", "owner").agg(F.count("*").alias("n"))
-    owned = by_owner.groupBy("vh").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
+    owned = by_owner.groupBy("vh").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"), F.sum(F.when(F.col("owner") == "", F.col("n")).otherwise(0)).alias("unowned"))
     found = (
         each.join(owned, "vh")
-        .withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
+        .withColumn("live", (F.col("owners") <= max_owners) & (F.col("unowned") <= max_repos))
         .groupBy("rid")
         .agg(F.expr("array_sort(collect_list(struct(x.s as s, x.r as r, x.e as e, x.kind as kind, x.value as value, owners, repos, live)))").alias("found"))
     )

@@ -201,6 +201,18 @@ def test_secrets(spark):
     assert secrets.digest(secrets.scan(df.where("false"))).count() == 0
 
 
+def test_secrets_of_one_owner_in_many_documents(spark):
+    many, same, two, three, nobody = ("Zx9" + c * 24 for c in "ghkmn")
+    rows = [(i, f"{i} {many}", "one") for i in range(100)] + [(100 + i, f"key {same}", "one") for i in range(100)]
+    rows += [(200 + i, f"{i} {two}", f"o{i % 2}") for i in range(60)] + [(300 + i, f"{i} {three}", f"o{i % 3}") for i in range(6)]
+    rows += [(400 + i, f"{i} {nobody}", None) for i in range(21)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.doc_id: r for r in secrets.digest(secrets.scan(df)).collect()}
+    assert all((r.n_live, r.n_example) == ((1, 0) if i < 300 else (0, 1)) for i, r in found.items())
+    hidden = {r.doc_id: "[SECRET]" in r.text for r in secrets.redact(df).collect()}
+    assert all(x == (i < 300) for i, x in hidden.items())
+
+
 # 6
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
