@@ -49,3 +49,9 @@ def test_vector_queries_take_all_rows(spark, folder, vectors):
     both = (p > 0).astype(int).T @ (p > 0).astype(int)
     assert {(r.x, r.y): r.n for r in run(spark, folder, "list_intersection_all")} == {(i, j): both[i, j] for i in range(64) for j in range(i + 1, 64)}
     assert {r.d: r.name for r in run(spark, folder, "docname_remap_all")} == {i: f"s{i % 3}-{i}" for i in range(N)}
+
+
+def test_binary_source_takes_all_vectors(spark, folder, vectors):
+    found = {(r.d, r.c): r.v for r in run(spark, folder, "svbin_roundtrip")}
+    assert set(found) == {(int(i), int(j)) for i, j in zip(*np.nonzero(vectors > 0.1))} and all(abs(found[i, j] - vectors[i, j]) < 1e-5 for i, j in found)
+    assert {"svbin_roundtrip", "jsonl_scan", "tsv_sink"} <= set(catalogue.queries())
