@@ -1,9 +1,12 @@
-"""Suffix arrays by induced sorting and permuted common prefixes, in whole-array steps.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classed as smaller (S) or larger (L) than the next one. The leftmost S suffixes (LMS) are sorted by
-their substrings through one induction, named, and the string of names is sorted in turn: by the same method
-while it has few names, else by doubling of ranks. A last induction gives the array. Inductions go bucket by
-bucket; all suffixes that a bucket induces are placed at once.
+their substrings through one induction, named, and the string of names is sorted in turn by the same method, to
+any depth and for any number of names. A last induction gives the array. All steps are linear: names come from
+hashes of substrings, buckets from counts, and placing in a bucket sorts small integers by radix.
+
+An induction has two forms with one result. Where buckets are long (texts of bytes), all suffixes that a bucket
+induces are placed at once; where they are short (strings of names), suffixes are placed one by one.
 """
 
 from __future__ import annotations
@@ -12,26 +15,8 @@ import numpy as np
 
 from sablevec.llm.common import mix, powers, prefix_hash
 
-#: More names than these cost more as buckets than as ranks.
-FEW_NAMES = 4096
-
-
-def by_doubling(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols at least."""
-    n = len(text)
-    rank, reach = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while reach < depth:
-        key = rank * np.int64(max(n, int(rank.max(initial=0))) + 2)
-        key[: n - reach] += rank[reach:] + 1
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
-        if rank[order[-1]] == n - 1:
-            break
-        reach *= 2
-    return order
+#: Shortest mean bucket that is worth whole-array steps; it changes the time, never the result.
+LONG_BUCKET = 256
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -103,8 +88,42 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begin: np.ndarray
     return sa
 
 
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of ``s`` (small non-negative numbers), in the order of their first ``depth`` symbols at least."""
+def _induce_singly(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``_induce`` for short buckets: one scan from each side, a suffix at a time."""
+    n = len(s)
+    symbol, small_ = s.tolist(), small.tolist()
+    sa = [-1] * n
+    tail = end.tolist()
+    for j in lms[::-1].tolist():
+        c = symbol[j]
+        tail[c] -= 1
+        sa[tail[c]] = j
+    head = begin.tolist()
+    c = symbol[n - 1]
+    sa[head[c]] = n - 1
+    head[c] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not small_[j]:
+            c = symbol[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = end.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and small_[j]:
+            c = symbol[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return np.array(sa, np.int64)
+
+
+def _induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (_induce if len(s) >= LONG_BUCKET * np.count_nonzero(end > begin) else _induce_singly)(s, small, lms, begin, end)
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """All suffixes of ``s`` (small non-negative numbers) in order."""
     n = len(s)
     if n < 2:
         return np.arange(n)
@@ -117,7 +136,7 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     end = np.cumsum(count)
     begin = end - count
     if len(lms) > 1:
-        sa = _induce(s, small, lms, begin, end)
+        sa = _induced(s, small, lms, begin, end)
         order = sa[is_lms[sa]]
         # an LMS substring reaches up to and with the next one's first symbol; the last up to the end
         stop = np.concatenate([lms[1:] + 1, [n]])
@@ -131,12 +150,8 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
         name = np.empty(len(lms), np.int64)
         name[nth[order]] = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
         names = int(name.max()) + 1
-        if names < len(lms):
-            inner = suffix_array(name, depth) if names <= FEW_NAMES else by_doubling(name, depth)
-            lms = lms[inner]
-        else:
-            lms = order
-    return _induce(s, small, lms, begin, end)
+        lms = lms[suffix_array(name.astype(np.min_scalar_type(names)))] if names < len(lms) else order
+    return _induced(s, small, lms, begin, end)
 
 
 def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, chain: int = 64) -> tuple[np.ndarray, np.ndarray]:
