@@ -44,8 +44,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts of a string column as one byte array, and where each begins; null is empty."""
-    a = pc.fill_null(column, "").cast(pa.large_string())
+    """All texts of a string or binary column as one byte array, and where each begins; null is empty."""
+    plain = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    a = pc.fill_null(column, b"").cast(pa.large_binary()) if plain else pc.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
     data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -46,7 +46,7 @@ def test_suffix_array(symbols):
         s = np.tile(s, 2) if n > 30 else s
         b = bytes(s)
         want = sorted(range(len(b)), key=lambda i: b[i:])
-        got = suffix_array(s, 10**6)
+        got = suffix_array(s)
         assert got.tolist() == want
         phi, common = permuted_common_prefixes(s, got, 9, 4)
         for x, y in zip(want, want[1:]):
@@ -56,6 +56,22 @@ def test_suffix_array(symbols):
             assert (phi[y], common[y]) == (x, m)
 
 
+@pytest.mark.parametrize("bucket", [1, 256, 10**9])
+def test_suffix_array_of_many_names(bucket, monkeypatch):
+    from sablevec.llm import suffix_array as module
+
+    monkeypatch.setattr(module, "LONG_BUCKET", bucket)
+    seen = []
+    inner = module.suffix_array
+    monkeypatch.setattr(module, "suffix_array", lambda s: seen.append(len(np.unique(s))) or inner(s))
+    s = np.frombuffer(" ".join(prose(i, 400) for i in range(40)).encode() * 2, np.uint8)
+    got = inner(s)
+    assert max(seen) > 4096
+    assert sorted(got.tolist()) == list(range(len(s)))
+    b = bytes(s)
+    assert all(b[i:] < b[j:] for i, j in zip(got[:-1:7].tolist(), got[1::7].tolist()))
+
+
 def cut(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen: dict = {}
@@ -77,8 +93,43 @@ def cut(texts, length):
 @pytest.mark.parametrize("length,hot", [(400, 2000), (60, 2000), (100, 1)])
 def test_suffix_dedup(spark, texts, length, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    found = suffix_dedup.digest(frame(spark, texts), length=length, gram=min(64, length // 2)).orderBy("doc_id").collect()
+    found = suffix_dedup.digest(frame(spark, texts), length=length, gram=min(64, length // 2), passage=length // 8).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found] == cut(texts, length)
+    assert [(r.n_passages, r.n_passage_words) for r in found] == passages(texts, length // 8)
+
+
+def passages(texts, n):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    seen: dict = {}
+    for w in words:
+        for k in range(len(w) - n + 1):
+            seen[tuple(w[k : k + n])] = seen.get(tuple(w[k : k + n]), 0) + 1
+    out = []
+    for w in words:
+        hit = np.zeros(len(w) + 1, bool)
+        for k in range(len(w) - n + 1):
+            if seen[tuple(w[k : k + n])] > 1:
+                hit[k : k + n] = True
+        out.append((int((np.diff(np.concatenate([[0], hit.view(np.int8)])) == 1).sum()), int(hit.sum())))
+    return out
+
+
+def test_suffix_dedup_of_one_passage_in_many_surroundings(spark, monkeypatch):
+    """No anchor brings more regions to a shard than ``HOT``, however many documents hold a passage."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    sizes, met = [], suffix_dedup._met
+
+    def measured(named, wanted, few=False):
+        if not few:
+            sizes.append(wanted.groupBy("w.kh").count().agg(F.max("count")).first()[0] or 0)
+        return met(named, wanted, few)
+
+    monkeypatch.setattr(suffix_dedup, "_met", measured)
+    held = prose(77, 130)[:600]
+    given = [prose(1000 + i, 60) + held + prose(2000 + i, 60) for i in range(150)]
+    found = suffix_dedup.digest(frame(spark, given)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found] == cut(given, 400)
+    assert len(sizes) == 2 and max(sizes) <= 20
 
 
 def test_suffix_dedup_repeated_and_null_ids(spark):
