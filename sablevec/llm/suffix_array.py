@@ -5,18 +5,21 @@ their substrings through one induction, named, and the string of names is sorted
 any depth and for any number of names. A last induction gives the array. All steps are linear: names come from
 hashes of substrings, buckets from counts, and placing in a bucket sorts small integers by radix.
 
-An induction has two forms with one result. Where buckets are long (texts of bytes), all suffixes that a bucket
-induces are placed at once; where they are short (strings of names), suffixes are placed one by one.
+An induction scans the buckets in blocks of about equal size. A long bucket is a block of its own: what it induces
+is placed at once, and what falls into the bucket itself in further rounds. In a block of short buckets only the
+suffixes induced into the same block are placed one by one, in the order of their places; all others at once.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 
 from sablevec.llm.common import mix, powers, prefix_hash
 
-#: Shortest mean bucket that is worth whole-array steps; it changes the time, never the result.
-LONG_BUCKET = 256
+#: Blocks of buckets that a scan makes; it changes the time, never the result.
+BLOCKS = 128
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -43,6 +46,16 @@ def _place(sa: np.ndarray, edge: np.ndarray, items: np.ndarray, symbols: np.ndar
     edge[c[new]] += step * size
 
 
+def _blocks(begin: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """First and last bucket of each block: long buckets alone, runs of short ones together."""
+    used = np.flatnonzero(end > begin)
+    most = -(-n // BLOCKS)
+    long = end[used] - begin[used] > most // 2
+    block = begin[used] // most * 2
+    cut = np.flatnonzero((block[1:] != block[:-1]) | long[1:] | long[:-1]) + 1
+    return [(int(x[0]), int(x[-1])) for x in np.split(used, cut)]
+
+
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The order that LMS suffixes, given in theirs, induce on all others."""
     n = len(s)
@@ -50,76 +63,52 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begin: np.ndarray
     tail = end - 1
     if len(lms):
         _place(sa, tail, lms[::-1], s[lms[::-1]], -1)
-    first_lms = tail + 1
     head = begin.copy()
     _place(sa, head, np.array([n - 1]), s[n - 1 :], 1)
-    used = np.flatnonzero(end > begin)
+    blocks = _blocks(begin, end, n)
     large = ~small
-    for c in used:
-        lo = begin[c]
-        while lo < head[c]:
-            hi = head[c]
-            j = sa[lo:hi] - 1
-            j = j[j >= 0]
-            j = j[large[j]]
-            lo = hi
-            if len(j):
-                _place(sa, head, j, s[j], 1)
-        if first_lms[c] < end[c]:
-            j = sa[first_lms[c] : end[c]] - 1
-            _place(sa, head, j, s[j], 1)
+    for c, last in blocks:
+        _block(sa, s, large, head, begin[c], end[last], c, last, 1)
+    # LMS suffixes are induced again, in their final order
+    sa[np.repeat(head, end - begin) <= np.arange(n)] = -1
     tail = end - 1
-    for c in used[::-1]:
-        hi = end[c] - 1
-        while hi > tail[c]:
-            lo = tail[c]
-            j = sa[lo + 1 : hi + 1][::-1] - 1
-            j = j[j >= 0]
-            j = j[small[j]]
-            hi = lo
-            if len(j):
-                _place(sa, tail, j, s[j], -1)
-        if head[c] > begin[c]:
-            j = sa[begin[c] : head[c]][::-1] - 1
-            j = j[j >= 0]
-            j = j[small[j]]
-            if len(j):
-                _place(sa, tail, j, s[j], -1)
+    for c, last in blocks[::-1]:
+        _block(sa, s, small, tail, begin[c], end[last], last, c, -1)
     return sa
 
 
-def _induce_singly(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """``_induce`` for short buckets: one scan from each side, a suffix at a time."""
-    n = len(s)
-    symbol, small_ = s.tolist(), small.tolist()
-    sa = [-1] * n
-    tail = end.tolist()
-    for j in lms[::-1].tolist():
-        c = symbol[j]
-        tail[c] -= 1
-        sa[tail[c]] = j
-    head = begin.tolist()
-    c = symbol[n - 1]
-    sa[head[c]] = n - 1
-    head[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small_[j]:
-            c = symbol[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = end.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small_[j]:
-            c = symbol[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    return np.array(sa, np.int64)
-
-
-def _induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (_induce if len(s) >= LONG_BUCKET * np.count_nonzero(end > begin) else _induce_singly)(s, small, lms, begin, end)
+def _block(sa: np.ndarray, s: np.ndarray, kind: np.ndarray, edge: np.ndarray, lo: int, hi: int, near: int, far: int, step: int) -> None:
+    """Place what the buckets from ``near`` to ``far``, in places lo to hi - 1, induce of suffixes of a kind, scanning by ``step``."""
+    if near == far:  # suffixes of the bucket's own symbol land in it: in rounds, until none does
+        part = sa[lo:hi][::step]
+        wait = part[part > 0]
+        while len(wait):
+            j = wait - 1
+            own = j[kind[j] & (s[j] == near)]
+            if not len(own):
+                break
+            _place(sa, edge, own, s[own], step)
+            wait = own[own > 0]
+    else:
+        i = np.flatnonzero(sa[lo:hi] > 0)
+        j = sa[lo:hi][i] - 1
+        inside = kind[j] & ((s[j] <= far) if step > 0 else (s[j] >= far))
+        queue = ((i[inside] + lo) * step).tolist()
+        queue.sort()
+        while queue:
+            j = int(sa[heappop(queue) * step]) - 1
+            c = s[j]
+            y = int(edge[c])
+            sa[y] = j
+            edge[c] = y + step
+            if j > 0 and kind[j - 1] and (s[j - 1] <= far if step > 0 else s[j - 1] >= far):
+                heappush(queue, y * step)
+    part = sa[lo:hi][::step]
+    j = part[part > 0] - 1
+    j = j[kind[j]]
+    j = j[(s[j] > far) if step > 0 else (s[j] < far)]
+    if len(j):
+        _place(sa, edge, j, s[j], step)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -136,7 +125,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     end = np.cumsum(count)
     begin = end - count
     if len(lms) > 1:
-        sa = _induced(s, small, lms, begin, end)
+        sa = _induce(s, small, lms, begin, end)
         order = sa[is_lms[sa]]
         # an LMS substring reaches up to and with the next one's first symbol; the last up to the end
         stop = np.concatenate([lms[1:] + 1, [n]])
@@ -151,7 +140,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         name[nth[order]] = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
         names = int(name.max()) + 1
         lms = lms[suffix_array(name.astype(np.min_scalar_type(names)))] if names < len(lms) else order
-    return _induced(s, small, lms, begin, end)
+    return _induce(s, small, lms, begin, end)
 
 
 def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, chain: int = 64) -> tuple[np.ndarray, np.ndarray]:

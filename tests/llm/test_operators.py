@@ -56,11 +56,11 @@ def test_suffix_array(symbols):
             assert (phi[y], common[y]) == (x, m)
 
 
-@pytest.mark.parametrize("bucket", [1, 256, 10**9])
-def test_suffix_array_of_many_names(bucket, monkeypatch):
+@pytest.mark.parametrize("blocks", [1, 128, 10**6])
+def test_suffix_array_of_many_names(blocks, monkeypatch):
     from sablevec.llm import suffix_array as module
 
-    monkeypatch.setattr(module, "LONG_BUCKET", bucket)
+    monkeypatch.setattr(module, "BLOCKS", blocks)
     seen = []
     inner = module.suffix_array
     monkeypatch.setattr(module, "suffix_array", lambda s: seen.append(len(np.unique(s))) or inner(s))
