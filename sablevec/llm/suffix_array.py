@@ -152,9 +152,9 @@ def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, chain:
     n = len(text)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    padded = np.concatenate([text, np.zeros(most + 16, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 8, 8), (1, 1))
-    word = np.ndarray((len(padded) - 8,), np.uint64, padded, 0, (1,)) if padded.flags.c_contiguous else word
+    wide = text.itemsize
+    padded = np.concatenate([text, np.zeros(most + 16, text.dtype)])
+    word = np.ndarray((len(padded) - 8,), np.uint64, padded, 0, (wide,))  # eight bytes from each symbol on
     out = np.zeros(n, np.int64)
     last = np.zeros(-(-n // chain), np.int64)
     for t in range(chain):
@@ -168,7 +168,7 @@ def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, chain:
             apart = word[p] ^ word[q]
             same = apart == 0
             low = apart & (~apart + np.uint64(1))
-            more = np.where(same, 8, (np.frexp(low.astype(np.float64))[1] - 1) >> 3)
+            more = np.where(same, 8, (np.frexp(low.astype(np.float64))[1] - 1) >> 3) // wide
             size[open_] += more
             open_ = open_[same & (size[open_] < most)]
         room = n - np.maximum(at, before)

@@ -14,9 +14,8 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
    repeated windows.
 5. Each document's spans are joined and cut out.
 
-Passages are the same operator over words: a text becomes four bytes for each word (white space and ASCII case
-don't matter), and passages are runs of ``passage`` words that start anywhere else too. They are reported, not
-removed.
+Passages are the same operator over words: a text becomes a number for each word (white space and ASCII case don't
+matter), and passages are runs of ``passage`` words that start anywhere else too. They are reported, not removed.
 
 Defined results: null text is empty; texts shorter than ``length`` never change; texts are bytes of UTF-8;
 repeated rows are different documents, so they repeat each other; null ids are kept; other columns are ignored;
@@ -40,10 +39,12 @@ from sablevec.llm.suffix_array import permuted_common_prefixes, suffix_array
 from sablevec.session import discard, materialise
 
 #: Bytes of text of a shard, about; different regions that make an anchor hot; ways to split it at first.
-SHARD = 2 << 20
+SHARD = 1 << 20
 HOT = 2000
 WAYS = 16
-#: Bytes that stand for a word where passages are sought.
+#: Bytes of text whose anchors are sought at a time.
+STEP = 1 << 19
+#: Bytes of the number that stands for a word where passages are sought.
 CODE = 4
 #: Split regions whose documents' keys take no more than this are broadcast to the documents.
 BROADCAST = 32 << 20
@@ -88,14 +89,14 @@ def _identified(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(d.alias("d"), t.alias("t"), F.xxhash64(d.cast("string"), t).alias("k1"), F.xxhash64(d.cast("string")).alias("k2"))
 
 
-def _regions(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _regions(docs: DataFrame, length: int, gram: int, unit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", STEP):
                 data, offsets = utf8(part.column("t"))
-                row, kh, p, s, e = anchors(data, offsets, length, gram)
-                view = memoryview(np.ascontiguousarray(data))
-                ctx = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)), np.uint64, len(s)).view(np.int64)
+                view, offsets = memoryview(np.ascontiguousarray(data)), offsets // unit
+                row, kh, p, s, e = anchors(data if unit == 1 else data.view(np.uint32), offsets, length, gram)
+                ctx = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip((s * unit).tolist(), (e * unit).tolist(), strict=True)), np.uint64, len(s)).view(np.int64)
                 base = offsets[row] if len(row) else row
                 k1, k2 = (part.column(k).to_numpy()[row] if len(row) else row for k in ("k1", "k2"))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, kh, ctx, (p - base).astype(np.int32), (s - base).astype(np.int32), (e - base).astype(np.int32))], ["k1", "k2", "kh", "ctx", "p", "s", "e"])
@@ -107,7 +108,7 @@ def _bytes(t: str | bytes | None) -> bytes:
     return t.encode() if isinstance(t, str) else t or b""
 
 
-def _split(length: int, width: int):
+def _split(length: int, width: int, unit: int):
     """Pieces of the wanted regions: the windows whose anchor is c * width to (c + 1) * width - 1 bytes in, for each c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +121,8 @@ def _split(length: int, width: int):
                         kh, p, s, e = w["kh"], w["p"], w["s"], w["e"]
                         for c in range((p - e + length) // width, (p - s) // width + 1):
                             lo, hi = max(s, p - (c + 1) * width + 1), min(e - length, p - c * width)
-                            common = xxhash.xxh3_64_intdigest(b[p - c * width : p - (c + 1) * width + 1 + length], seed=c)
-                            out.append((k1, k2, _signed(common ^ (kh & (1 << 64) - 1)), _signed(xxhash.xxh3_64_intdigest(b[lo : hi + length])), p, lo, hi + length))
+                            common = xxhash.xxh3_64_intdigest(b[(p - c * width) * unit : (p - (c + 1) * width + 1 + length) * unit], seed=c)
+                            out.append((k1, k2, _signed(common ^ (kh & (1 << 64) - 1)), _signed(xxhash.xxh3_64_intdigest(b[lo * unit : (hi + length) * unit])), p, lo, hi + length))
                         if len(out) > 20_000:
                             yield _rows(out, _REGION)
                             out = []
@@ -131,7 +132,7 @@ def _split(length: int, width: int):
     return run
 
 
-def _extract(shards: int):
+def _extract(shards: int, unit: int):
     """Bytes of the wanted regions of each text, dealt to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def _extract(shards: int):
                 for k1, k2, t, wanted in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "t", "wanted")), strict=True):
                     b = _bytes(t)
                     for w in wanted:
-                        out.append((w["kh"] % shards, k1, k2, w["s"], b[w["s"] : w["e"]]))
+                        out.append((w["kh"] % shards, k1, k2, w["s"], b[w["s"] * unit : w["e"] * unit]))
                         if len(out) > 20_000:
                             yield _rows(out, _DEALT)
                             out = []
@@ -163,16 +164,22 @@ def _rows(out: list[tuple], kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
-def repeated(regions: list[tuple], length: int) -> list[tuple]:
+def repeated(regions: list[tuple], length: int, unit: int = 1) -> list[tuple]:
     """Spans (k1, k2, s, e) of all windows of the regions (k1, k2, s, bytes) that start more than once among them."""
     joined: list[list] = []
     for k1, k2, s, b in sorted(regions, key=lambda r: (r[0], r[1], r[2], -len(r[3]))):
-        if joined and joined[-1][:2] == [k1, k2] and s <= (end := joined[-1][2] + len(joined[-1][3])):
-            joined[-1][3] += b[end - s :]  # a place of a text is in the shard once
+        if joined and joined[-1][:2] == [k1, k2] and s <= (end := joined[-1][2] + len(joined[-1][3]) // unit):
+            joined[-1][3] += b[(end - s) * unit :]  # a place of a text is in the shard once
         else:
             joined.append([k1, k2, s, bytearray(b)])
-    text = np.frombuffer(b"\xff".join(bytes(r[3]) for r in joined) + b"\xff", np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(r[3]) + 1 for r in joined])])
+    begin = np.concatenate([[0], np.cumsum([len(r[3]) // unit + 1 for r in joined])])
+    if unit == 1:
+        text = np.frombuffer(b"\xff".join(bytes(r[3]) for r in joined) + b"\xff", np.uint8)
+    else:  # numbers by rank; 0 parts regions
+        text = np.zeros(begin[-1], np.uint32)
+        inside = np.ones(len(text), bool)
+        inside[begin[1:] - 1] = False
+        text[inside] = np.unique(np.frombuffer(b"".join(bytes(r[3]) for r in joined), np.uint32), return_inverse=True)[1] + 1
     sa = suffix_array(text)
     phi, common = permuted_common_prefixes(text, sa, length)
     own = np.repeat(np.arange(len(joined)), np.diff(begin))
@@ -191,9 +198,9 @@ def repeated(regions: list[tuple], length: int) -> list[tuple]:
     return out
 
 
-def _shard(length: int):
+def _shard(length: int, unit: int):
     def run(table: pa.Table) -> pa.Table:
-        found = repeated(list(zip(*(table.column(c).to_pylist() for c in ("k1", "k2", "s", "b")), strict=True)), length)
+        found = repeated(list(zip(*(table.column(c).to_pylist() for c in ("k1", "k2", "s", "b")), strict=True)), length, unit)
         columns = list(zip(*found, strict=True)) if found else [[]] * 4
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["k1", "k2", "s", "e"])
 
@@ -207,10 +214,10 @@ def _met(named: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
     return named.join(by_text, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).select("d", "t", "k1", "k2", "wanted")
 
 
-def spans(named: DataFrame, length: int, gram: int) -> DataFrame:
-    """All repeated spans (k1, k2, s, e) of identified documents (d, t, k1, k2); they may overlap or repeat."""
+def spans(named: DataFrame, length: int, gram: int, unit: int = 1) -> DataFrame:
+    """All repeated spans (k1, k2, s, e) of identified documents (d, t, k1, k2), counted in symbols of ``unit`` bytes; they may overlap or repeat."""
     region = ", ".join(f"{c} {'int' if k == pa.int32() else 'bigint'}" for c, k in _REGION.items())
-    regions = materialise(_regions(named, length, gram), "regions")
+    regions = materialise(_regions(named, length, gram, unit), "regions")
     found, wanted = None, None
     for width in (-(-(length - gram + 1) // WAYS), 1, None):
         # every side of a join is a table of its own, so that skewed keys of the other side can be split
@@ -229,18 +236,18 @@ def spans(named: DataFrame, length: int, gram: int) -> DataFrame:
             break
         again = materialise(mixed.join(hot, "kh").select("k1", "k2", split), "again")
         few = again.count() * 64 <= BROADCAST
-        regions = materialise(_met(named, again, few).select("k1", "k2", "t", "wanted").mapInArrow(_split(length, width), region), "regions")
+        regions = materialise(_met(named, again, few).select("k1", "k2", "t", "wanted").mapInArrow(_split(length, width, unit), region), "regions")
         discard(again)
     wanted = materialise(wanted, "wanted")
     total = wanted.agg(F.sum(F.expr("w.e - w.s"))).first()[0] or 0
-    dealt = _met(named, wanted).mapInArrow(_extract(max(1, math.ceil(total / SHARD))), "shard bigint, k1 bigint, k2 bigint, s int, b binary")
-    part = dealt.groupBy("shard").applyInArrow(_shard(length), "k1 bigint, k2 bigint, s int, e int")
+    dealt = _met(named, wanted).mapInArrow(_extract(max(1, math.ceil(total * unit / SHARD)), unit), "shard bigint, k1 bigint, k2 bigint, s int, b binary")
+    part = dealt.groupBy("shard").applyInArrow(_shard(length, unit), "k1 bigint, k2 bigint, s int, e int")
     return found.union(part)
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "t"):
+        for part in pieces(batch, "t", STEP):
             words = Words(*utf8(part.column("t")), NOT_SPACE)
             code = pa.py_buffer((words.hash >> np.uint64(32)).astype(np.uint32).tobytes())
             at = pa.py_buffer((words.first * CODE).astype(np.int32).tobytes())
@@ -272,9 +279,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sha.update(b[at:s])
                     at = e
                 sha.update(b[at:])
-                # codes are whole words; a string that repeats itself may match between them
-                n_words = sum(-(-e // CODE) - s // CODE for s, e in passages)
-                out.append((len(b), sum(e - s for s, e in joined), len(joined), sha.hexdigest(), len(passages), n_words, [x for j in joined for x in j]))
+                out.append((len(b), sum(e - s for s, e in joined), len(joined), sha.hexdigest(), len(passages), sum(e - s for s, e in passages), [x for j in joined for x in j]))
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([part.column("d"), *(pa.array(x, k) for x, k in zip(columns, kinds.values(), strict=True))], ["d", *kinds])
 
@@ -286,7 +291,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     kind = named.schema["d"].dataType.simpleString()
     coded = named.mapInArrow(_codes, f"d {kind}, t binary, k1 bigint, k2 bigint")
     found = spans(named, length, gram).select("k1", "k2", packed, F.lit(False).alias("word"))
-    found = found.union(spans(coded, passage * CODE, min(8, passage // 2) * CODE).select("k1", "k2", packed, F.lit(True).alias("word")))
+    found = found.union(spans(coded, passage, min(8, passage // 2), CODE).select("k1", "k2", packed, F.lit(True).alias("word")))
     sets = [F.collect_set(F.when(F.col("word") == w, F.col("x"))).alias(c) for w, c in ((False, "found"), (True, "words"))]
     by_text = found.groupBy("k1", "k2").agg(*sets).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "found", "words")
     both = named.join(by_text.hint("shuffle_hash"), (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")), "left").select("d", "t", "found", "words")
