@@ -69,6 +69,14 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A name like ``name`` that no column has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Words:
     """Words of a run of texts: hashes, byte spans and the row of each."""
 

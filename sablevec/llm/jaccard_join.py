@@ -12,12 +12,13 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Equal se
    the difference from below, so the overlap from above) make first families. Classes of an element in different
    families are compared tile by tile, sizes and bitmaps only; what passes joins families. So all pairs that can
    be similar are in one family, and no list of pairs is made.
-4. A family's sets meet in tiles of bounded size. A tile tests pairs that aren't connected yet, by finer bitmaps
-   and then by exact intersection of the sorted arrays, until all that can be connected are. Families of several
-   tiles then compare tiles with the first one, and those that still differ with each other.
+4. A family's sets meet in tiles of bounded size, each tile with itself and with every other of its family, in
+   tasks of their own. All pairs of fitting size are tested, by finer bitmaps and then by exact intersection of
+   the sorted arrays.
 
-``links`` are verified links that span each component; pairs that are already connected can't change the result
-and aren't listed, so a group of many near copies costs its size, not its square.
+Every link is verified and counted where it is found: a tile gives the links that span its components, and for
+each class how many documents its links reach. Lists of all pairs of a group are never made, so a group of many
+near copies costs the square of its different texts in comparisons, but not in rows.
 
 Defined results: null text or text without words: empty set, linked with nothing, its own component; fewer than
 ``k`` words: the whole sequence as one shingle; equal texts or repeated rows share a component; a null id never
@@ -36,14 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablevec.llm.common import NOT_SPACE, Words, pieces, shingles, utf8
+from sablevec.llm.common import NOT_SPACE, Words, fresh, pieces, shingles, utf8
 from sablevec.llm.components import components
 from sablevec.session import materialise
 
 #: Rows that one task sorts at a time, on average.
 TASK_ROWS = 1_000_000
 #: Elements of the sets of a tile of a family, about.
-TILE_ELEMENTS = 4_000_000
+TILE_ELEMENTS = 1_000_000
 #: Classes of an element that are compared with another tile in one step.
 TILE = 512
 
@@ -273,48 +274,58 @@ def fine_bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def linked(cls: list[int], sets_: list[np.ndarray], num: int, den: int, parts: tuple[list[int], int] | None = None) -> list[tuple[int, int]]:
-    """Verified links that span the components of some sets. ``parts``: components so far, and where a second tile begins; only pairs across are tested."""
-    order = sorted(range(len(cls)), key=lambda i: len(sets_[i]))
-    n = np.array([len(sets_[i]) for i in order], np.int64)
-    labels = Labels(len(order))
-    side = None
-    if parts:
-        _, labels.of = np.unique(np.array(parts[0])[order], return_inverse=True)
-        side = np.array(order) >= parts[1]
+def linked(sets_: list[np.ndarray], copies: np.ndarray, num: int, den: int, second: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between some sets: pairs of places that span their components, and for each set the copies that all its links reach.
+
+    With ``second``, where a second tile begins, only pairs across the two are tested.
+    """
+    order = np.argsort([len(x) for x in sets_], kind="stable")
     own = [sets_[i] for i in order]
-    sig = [fine_bitmap(x) for x in own] if len(order) > 2 else None
-    folded: dict[int, np.ndarray] = {}
-    out = []
+    n = np.array([len(x) for x in own], np.int64)
+    labels, weight, out = Labels(len(order)), np.zeros(len(order), np.int64), []
+    if second in (0, len(order)):  # the other tile is empty
+        return out, weight
+    if len(order) == 2:
+        both = int(np.isin(own[0], own[1], assume_unique=True).sum()) if den * n[0] >= num * n[1] else 0
+        if both and both >= least_overlap(n[0], n[1], num, den):
+            return [(0, 1)], copies[::-1].copy()
+        return [], weight
+    side = order >= second if second is not None else None
+    first = np.concatenate([[0], np.cumsum(n)])
+    values, rank = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_inverse=True)
+    marked = np.zeros(len(values), bool)
+    sig = [fine_bitmap(x) for x in own]
+    have, words, begin = np.zeros((0, 0), np.uint64), 0, 0
     for i in range(len(order)):
         top = int(np.searchsorted(n, den * n[i] // num, "right"))
         j = np.arange(i + 1, top)
-        ok = labels.of[j] != labels.of[i]
         if side is not None:
-            ok &= side[j] != side[i]
-        j = j[ok]
+            j = j[side[j] != side[i]]
         if not len(j):
             continue
+        if len(sig[i]) != words:  # all larger sets at this width; sizes only grow
+            words, begin, have = len(sig[i]), i, np.zeros((0, len(sig[i])), np.uint64)
+        if begin + len(have) < top:
+            have = np.concatenate([have, np.stack([np.bitwise_or.reduce(s.reshape(-1, words), axis=0) for s in sig[begin + len(have) : top]])])
         need = least_overlap(n[i], n[j], num, den)
-        if sig:
-            words = len(sig[i])
-            if words not in folded:  # all larger sets at this width, made once; sizes only grow
-                folded = {words: np.stack([np.bitwise_or.reduce(s.reshape(-1, words), axis=0) for s in sig[i:top]]) if top > i else None, "at": i}
-            have = folded[words]
-            if folded["at"] + len(have) < top:
-                more = [np.bitwise_or.reduce(s.reshape(-1, words), axis=0) for s in sig[folded["at"] + len(have) : top]]
-                have = folded[words] = np.concatenate([have, np.stack(more)])
-            apart = np.concatenate([np.bitwise_count(have[j[k : k + 4096] - folded["at"]] ^ sig[i]).sum(1, dtype=np.int64) for k in range(0, len(j), 4096)])
-            ok = (n[i] + n[j] - apart) // 2 >= need
-            j, need = j[ok], need[ok]
-        for k, least in zip(j.tolist(), need.tolist(), strict=True):
-            if labels.of[k] == labels.of[i]:
-                continue
-            at = np.minimum(np.searchsorted(own[k], own[i]), n[k] - 1)
-            if int((own[k][at] == own[i]).sum()) >= least:
-                labels.join(i, k)
-                out.append((cls[order[i]], cls[order[k]]))
-    return out
+        apart = np.concatenate([np.bitwise_count(have[j[k : k + 4096] - begin] ^ sig[i]).sum(1, dtype=np.int64) for k in range(0, len(j), 4096)])
+        ok = (n[i] + n[j] - apart) // 2 >= need
+        j, need = j[ok], need[ok]
+        marked[rank[first[i] : first[i + 1]]] = True
+        for k in range(0, len(j), 4096):
+            at, least = j[k : k + 4096], need[k : k + 4096]
+            ends = np.cumsum(n[at])
+            place = np.arange(ends[-1]) + np.repeat(first[at] - ends + n[at], n[at])
+            at = at[np.add.reduceat(marked[rank[place]], ends - n[at], dtype=np.int64) >= least]
+            weight[i] += copies[order[at]].sum()
+            weight[at] += copies[order[i]]
+            for x in at[np.unique(labels.of[at], return_index=True)[1]].tolist():
+                if labels.join(i, x):
+                    out.append((int(order[i]), int(order[x])))
+        marked[rank[first[i] : first[i + 1]]] = False
+    back = np.empty_like(weight)
+    back[order] = weight
+    return out, back
 
 
 def _bounded(num: int, den: int):
@@ -327,23 +338,23 @@ def _bounded(num: int, den: int):
     return run
 
 
-def _links(num: int, den: int, across: bool):
-    """Links of each group of sets: a tile, or (``across``) two tiles."""
+def _links(num: int, den: int):
+    """Links of each tile, or pair of tiles: spanning ones as (a, b), and as (a, null, w) what the links of a reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple, dict[int, tuple]] = {}
         for batch in batches:
             own = batch.column("set")
-            names = [batch.column(c).to_pylist() for c in ("family", "low", "high", "tile", "cls", "comp")]
-            for i, (family, low, high, tile, cls, comp) in enumerate(zip(*names, strict=True)):
-                groups.setdefault((family, low, high), {})[cls] = (tile == high, comp, np.frombuffer(own[i].as_py(), np.uint64))
-        for rows in groups.values():
-            at = sorted(rows, key=lambda c: (rows[c][0], c))
-            parts = ([rows[c][1] for c in at], sum(not rows[c][0] for c in at)) if across else None
-            found = linked(at, [rows[c][2] for c in at], num, den, parts)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            names = [batch.column(c).to_pylist() for c in ("family", "low", "high", "tile", "cls", "copies")]
+            for i, (family, low, high, tile, cls, copies) in enumerate(zip(*names, strict=True)):
+                groups.setdefault((family, low, high), {})[cls] = (tile != low, copies, np.frombuffer(own[i].as_py(), np.uint64))
+        for (_, low, high), rows in groups.items():
+            cls = sorted(rows, key=lambda c: (rows[c][0], c))
+            second = sum(not rows[c][0] for c in cls) if low < high else None
+            pairs, weight = linked([rows[c][2] for c in cls], np.array([rows[c][1] for c in cls], np.int64), num, den, second)
+            out = [(cls[i], cls[j], 0) for i, j in pairs] + [(cls[i], None, int(weight[i])) for i in np.flatnonzero(weight)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "w"])
 
     return run
 
@@ -388,30 +399,22 @@ class Join:
         return both.mapInArrow(_bounded(self.num, self.den), "a bigint, b bigint")
 
     def _family_links(self, families: DataFrame) -> None:
-        """``links`` and ``components`` from the families (node, component)."""
+        """``links``, ``reached`` and ``components`` from the families (node, component)."""
         sized = families.select(F.col("node").alias("cls"), F.col("component").alias("family")).join(self.sizes.select("cls", "n"), "cls")
         tiles = sized.groupBy("family").agg(F.ceil(F.sum("n") / TILE_ELEMENTS).alias("tiles"))
         placed = sized.join(tiles, "family").withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("cls"), "tiles")).otherwise(F.lit(0)).cast("bigint"))
-        self.placed = materialise(placed.join(self.classes, "cls").select("cls", "n", "family", "tiles", "tile", "d", "digest"), "placed")
-        alone = self.placed.select("cls", "n", "family", "tile", F.col("tile").alias("low"), F.col("tile").alias("high"), F.lit(0).cast("bigint").alias("comp"), "d", "digest")
-        self.links = materialise(self._tested(alone, False), "verified")
+        placed = materialise(placed.join(self.classes, "cls").select("cls", "n", "family", "tiles", "tile", "d", "digest", "copies"), "placed")
+        # each class is dealt to the tasks of its tile with every tile of its family
+        meet = placed.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)"))).select("cls", "n", "family", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "d", "digest", "copies")
+        found = materialise(self._tested(meet), "verified")
+        self.links = found.where("b is not null").select("a", "b")
+        self.reached = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("reached"))
         self.components = components(self.links)
-        for first_only in (True, False):
-            if not self.placed.where("tiles > 1").limit(1).count():
-                break
-            comp = self.placed.join(self.components.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-            each = comp.where("tiles > 1").groupBy("family", "tile").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-            low, high = (each.select("family", F.col("tile").alias(t), F.col("least").alias(f"{t}_least"), F.col("most").alias(f"{t}_most")) for t in ("low", "high"))
-            pairs = low.join(high, "family").where("low < high and not (low_least = low_most and high_least = high_most and low_least = high_least)")
-            pairs = (pairs.where("low = 0") if first_only else pairs).select("family", "low", "high")
-            met = comp.join(pairs, "family").where("tile = low or tile = high").select("cls", "n", "family", "tile", "low", "high", "comp", "d", "digest")
-            self.links = materialise(self.links.union(self._tested(materialise(met, "met"), True)), "verified")
-            self.components = components(self.links)
-
-    def _tested(self, rows: DataFrame, across: bool) -> DataFrame:
+
+    def _tested(self, rows: DataFrame) -> DataFrame:
         """Links among the sets, made again from the texts, of one document of each class."""
         elements = rows.agg(F.sum("n")).first()[0] or 0
-        tasks = max(1, math.ceil(elements / TILE_ELEMENTS))
+        tasks = max(1, math.ceil(elements / (2 * TILE_ELEMENTS)))
         keys, ids = rows.drop("d", "n"), rows.select(F.col("d").alias("w")).distinct()
         if rows.count() * 128 <= self.broadcast_bytes:
             keys, ids = F.broadcast(keys), F.broadcast(ids)
@@ -426,30 +429,34 @@ class Join:
 
         texts = self.docs.join(ids, F.col("d").eqNullSafe(F.col("w")), "left_semi").select("t")
         made = texts.mapInArrow(run, "digest binary, set binary").join(keys, "digest").drop("digest")
-        return made.repartition(tasks, "family", "low", "high").mapInArrow(_links(self.num, self.den, across), "a bigint, b bigint")
+        return made.repartition(tasks, "family", "low", "high").mapInArrow(_links(self.num, self.den), "a bigint, b bigint, w bigint")
 
     def members(self) -> DataFrame:
-        """One row per document: its key ``d``, set size ``n`` and ``component``, the smallest key of its component."""
+        """One row per document: its key ``d``, set size ``n``, ``component``, the smallest key of its component, and ``links``, how many other documents it is linked with."""
         in_links = self.classes.join(self.components.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         least = in_links.groupBy("component").agg(F.min("d").alias("least"), F.sum("copies").alias("docs")).where("docs > 1")
-        named = in_links.join(least, "component").select("digest", "least")
-        return self.table.select("d", "n", "digest").join(named, "digest", "left").select("d", "n", F.coalesce("least", "d").alias("component"))
+        links = F.col("copies") - 1 + F.coalesce("reached", F.lit(0))
+        # a table of its own, so that a digest that many documents share can be split
+        named = materialise(in_links.join(least, "component").join(self.reached, "cls", "left").select("digest", "least", links.alias("links")), "named")
+        return self.table.select("d", "n", "digest").join(named, "digest", "left").select("d", "n", F.coalesce("least", "d").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     m = Join(docs).members()
-    return m.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return m.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", broadcast_bytes: int = 32 << 20, **args) -> DataFrame:
     """``docs`` with one document of each component: the one whose key names it (of repeated keys one row; rows of null key stay)."""
     join = Join(docs, key=key, **args)
-    out = materialise(join.members().where("d <> component").select("d").distinct(), "copies")
+    d = fresh(docs.columns, "d")
+    out = materialise(join.members().where("d <> component").select(F.col("d").alias(d)).distinct(), "copies")
     if out.count() * 64 <= broadcast_bytes:
         out = F.broadcast(out)
-    kept = docs.join(out, F.col(f"`{key}`") == F.col("d"), "left_anti")
-    twice = materialise(join.table.where("d is not null").groupBy("d").count().where("count > 1").select("d"), "repeated")
+    same = F.col(f"`{key}`") == F.col(d)
+    kept = docs.join(out, same, "left_anti")
+    twice = materialise(join.table.where("d is not null").groupBy("d").count().where("count > 1").select(F.col("d").alias(d)), "repeated")
     if twice.limit(1).count():
-        again = kept.join(twice, F.col(f"`{key}`") == F.col("d"), "left_semi").dropDuplicates([key])
-        kept = kept.join(twice, F.col(f"`{key}`") == F.col("d"), "left_anti").union(again)
+        again = kept.join(twice, same, "left_semi").dropDuplicates([key])
+        kept = kept.join(twice, same, "left_anti").union(again)
     return kept

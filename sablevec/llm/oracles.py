@@ -36,8 +36,8 @@ sizes AS (SELECT doc_id, count(*) n FROM grams GROUP BY doc_id),
 links AS (SELECT a.doc_id a, b.doc_id b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
     GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
 reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
-SELECT w.doc_id, coalesce(s.n, 0)::BIGINT n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) component_id
-FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id, s.n"""
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) component_id, coalesce(any_value(l.n), 0)::BIGINT n_links
+FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.a = w.doc_id LEFT JOIN (SELECT a, count(*) n FROM links GROUP BY a) l ON l.a = w.doc_id GROUP BY w.doc_id, s.n"""
 
 _RX = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 BENCHMARK = f"""WITH words AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all({_LOWER}, {_RX}) w FROM documents),

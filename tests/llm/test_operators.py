@@ -351,6 +351,10 @@ def word_sets(texts, k=5):
     return out
 
 
+def n_links(sets_):
+    return [sum(1 for j, b in enumerate(sets_) if i != j and a & b and 100 * len(a & b) >= 75 * len(a | b)) for i, a in enumerate(sets_)]
+
+
 def linked_components(sets_):
     label = list(range(len(sets_)))
     for i in range(len(sets_)):
@@ -362,7 +366,7 @@ def linked_components(sets_):
     return label
 
 
-@pytest.mark.parametrize("hot,tile", [(200, 4_000_000), (2, 300)])
+@pytest.mark.parametrize("hot,tile", [(200, 1_000_000), (2, 300)])
 def test_jaccard_join(spark, texts, hot, tile, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE_ELEMENTS", tile)
     monkeypatch.setattr(jaccard_join, "TILE", 4)
@@ -378,13 +382,14 @@ def test_jaccard_join(spark, texts, hot, tile, monkeypatch):
     s = word_sets(given)
     m = jaccard_join.Join(frame(spark, given), hot_least=hot).members()
     found = m.orderBy("d").collect()
-    assert [(x.n, x.component) for x in found] == list(zip(map(len, s), linked_components(s), strict=True))
+    assert [(x.n, x.component, x.links) for x in found] == list(zip(map(len, s), linked_components(s), n_links(s), strict=True))
 
 
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (4, "")], "doc_id bigint, text string")
     found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_join.digest(df).collect())
     assert found == [(0, 0, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1), (4, 0, 4)]
+    assert sorted(r.n_links for r in jaccard_join.digest(df).collect()) == [0, 0, 2, 2, 2]
     assert sorted((r.doc_id or 0, r.text) for r in jaccard_join.keep_one(df).where("text is not null").collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (4, "")]
     assert jaccard_join.digest(df.where("false")).count() == 0
     assert jaccard_join.width(64) == 64 and jaccard_join.width(65) == 128
