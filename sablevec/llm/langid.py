@@ -4,9 +4,13 @@ Training counts lower-case words of labelled documents by language. A known word
 frequency; an unseen word is scored by the longest known character n-grams (4 down to 1) that begin at each of
 its characters, word borders included. A document's score is the mean over its words.
 
-Training takes at most ``per_lang`` documents of each of at most ``max_langs`` languages (those whose id hashes
-lowest; a bounded sample of labelled rows), whole texts; the tables keep at most ``max_words`` words and
-``max_grams`` n-grams of each length and language, most frequent first. Prediction reads whole texts.
+Training takes a bounded sample of the labelled rows of every language: rows in the order of their ids' hashes,
+until ``per_lang`` rows or ``max_chars`` characters are met (both within a 64th part of ``per_lang`` rows). Their
+whole texts are read; every word and n-gram of theirs is kept, and no language is left out. The model holds, for
+each string, only the languages that know it, so its size follows the sample. Prediction reads whole texts.
+
+The score is the winner's share when the languages' mean log frequencies are weighed as those of a text of as many
+words as this one has, but of 20 at most (words of a text depend on each other, and more would always give 1).
 
 Defined results: null text, or text without letters: ``und`` with score 0, as is everything when there are no
 labelled rows; ties go to the language that sorts first; repeated rows are treated alike; other columns are
@@ -19,14 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sablevec.llm.common import mix, pieces, powers, prefix_hash
+from sablevec.session import discard, materialise
 
 LENGTHS = (4, 3, 2, 1)
 BORDER = 1
 SMOOTH = 0.5
+#: Words of a text that count as independent of each other.
+INDEPENDENT = 20
+#: Parts that the sample of a language is cut into.
+PARTS = 64
 
 _letters: list[np.ndarray] = []
 
@@ -46,42 +56,63 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _table(rows: list, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of strings, and for each its smoothed log frequency in each language."""
-    strings = sorted({r[1] for r in rows})
-    if not strings:
-        return np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32)
-    at = {s: i for i, s in enumerate(strings)}
-    counts = np.zeros((len(strings), len(langs)))
-    for lang, s, n in rows:
-        counts[at[s], langs.index(lang)] += n
-    ends = np.cumsum([len(s) for s in strings])
-    h = _hash(_codes("".join(strings)), np.concatenate([[0], ends[:-1]]), ends)
-    logp = np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * len(strings)))
-    order = np.argsort(h)
-    return h[order], logp[order].astype(np.float32)
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, max_langs: int = 200, max_words: int = 30000, max_grams: int = 30000) -> dict:
-    """The model, a dict of small arrays, from rows of ``docs`` whose language is not null."""
-    known = docs.select(F.col(lang).alias("lang"), F.col(key).alias("id"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
-    pick = Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
-    ids = known.where(F.col("lang").isin(langs)).select("lang", "id").distinct().withColumn("r", F.row_number().over(pick)).where(F.col("r") <= per_lang).drop("r")
-    words = known.join(F.broadcast(ids), ["lang", "id"]).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
-    def top(df: DataFrame, keep: int) -> list:
-        rank = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
-        return [(r.lang, r.w, r.n) for r in df.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= keep).collect()]
-
-    words = words.cache()
-    # a word seen once says less than its n-grams do
-    model = {"langs": langs, "words": _table(top(words.where("n > 1"), max_words), langs)}
+class Table:
+    """Strings by hash, each with the languages that know it and what it gains there over an unseen string."""
+
+    def __init__(self, h: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int):
+        order = np.lexsort((lang, h))
+        h, self.lang, n = h[order], lang[order].astype(np.int32), n[order].astype(float)
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        self.hash, self.first = h[new], np.append(np.flatnonzero(new), len(h))
+        self.gain = np.log((n + SMOOTH) / SMOOTH).astype(np.float32)
+        self.unseen = np.log(SMOOTH / (np.bincount(lang, n[np.argsort(order)], langs) + SMOOTH * max(1, len(self.hash)))).astype(np.float32)
+
+    def add(self, scores: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+        """Log frequencies of the strings at ``at`` into these rows of ``scores``."""
+        scores[rows] = self.unseen
+        size = self.first[at + 1] - self.first[at]
+        place = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        scores[np.repeat(rows, size), self.lang[place]] += self.gain[place]
+
+
+def _table(counts: DataFrame, langs: int) -> Table:
+    """From (l, w, n): numbers of the languages, strings and counts."""
+    rows = counts.toArrow()
+    words = rows.column("w").combine_chunks()
+    ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)) if len(words) else np.zeros(0, np.int64)
+    h = _hash(_codes("".join(words.to_pylist())), np.concatenate([[0], ends[:-1]]), ends) if len(words) else np.zeros(0, np.uint64)
+    return Table(h, rows.column("l").to_numpy().astype(np.int64), rows.column("n").to_numpy(), langs)
+
+
+def sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int, max_chars: int) -> DataFrame:
+    """(lang, text) of the training rows. Rows are counted by language and part first, so no task ranks a language's rows."""
+    known = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
+    size = materialise(known.groupBy("lang").agg(F.count("*").alias("n")), "sizes")  # tables of known size: Spark broadcasts small ones
+    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    # the part of a row, among as many as there are samples in the language times PARTS; only the first two samples' are counted
+    placed = known.join(size, "lang").withColumn("part", F.floor(unit * F.ceil(F.col("n") / per_lang) * PARTS)).where(F.col("part") < 2 * PARTS)
+    parts = placed.groupBy("lang", "part").agg(F.count("*").alias("rows"), F.sum(F.length("text").cast("bigint")).alias("chars"))
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    met = parts.select("lang", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars"))
+    met = materialise(met.where((F.col("rows") < per_lang) & (F.col("chars") < max_chars)).select("lang", "part"), "parts")
+    return placed.join(met, ["lang", "part"]).select("lang", "text")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, max_chars: int = 8_000_000) -> dict:
+    """The model, a dict of sparse tables, from rows of ``docs`` whose language is not null."""
+    some = materialise(sample(docs, text, lang, key, per_lang, max_chars), "sample")
+    langs = [r.lang for r in some.select("lang").distinct().orderBy("lang").collect()]
+    number = docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(langs)], f"lang {some.schema['lang'].dataType.simpleString()}, l int")
+    split = some.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    words = materialise(split.join(F.broadcast(number), "lang").select("l", "w", "n"), "words")
+    model = {"langs": langs, "words": _table(words, len(langs))}
     border = chr(BORDER)
     for n in LENGTHS:
-        padded = words.select("lang", "n", F.concat(F.lit(border), "w", F.lit(border)).alias("p")).where(F.length("p") >= n)
-        grams = padded.select("lang", "n", F.explode(F.expr(f"transform(sequence(1, length(p) - {n - 1}), i -> substr(p, i, {n}))")).alias("w"))
-        model[n] = _table(top(grams.groupBy("lang", "w").agg(F.sum("n").alias("n")), max_grams), langs)
-    words.unpersist()
+        padded = words.select("l", "n", F.concat(F.lit(border), "w", F.lit(border)).alias("p")).where(F.length("p") >= n)
+        grams = padded.select("l", "n", F.explode(F.expr(f"transform(sequence(1, length(p) - {n - 1}), i -> substr(p, i, {n}))")).alias("w"))
+        model[n] = _table(grams.groupBy("l", "w").agg(F.sum("n").alias("n")), len(langs))
+    discard(some, words)
     return model
 
 
@@ -108,9 +139,9 @@ def _backoff(model: dict, codes: np.ndarray, start: np.ndarray, end: np.ndarray)
     open_ = np.arange(len(padded))
     for n in LENGTHS:
         fit_ = open_[left[open_] >= n]
-        at = _look(model[n][0], _hash(padded, fit_, fit_ + n))
+        at = _look(model[n].hash, _hash(padded, fit_, fit_ + n))
         hit = at >= 0
-        total[fit_[hit]] = model[n][1][at[hit]]
+        model[n].add(total, fit_[hit], at[hit])
         count[fit_[hit]] = 1
         done = np.zeros(len(padded), bool)
         done[fit_[hit]] = True
@@ -131,9 +162,9 @@ def score(texts: list, model: dict) -> tuple[list[str], np.ndarray]:
     if not len(start) or not langs:
         return out, best
     unique, first, back = np.unique(_hash(codes, start, end), return_index=True, return_inverse=True)
-    at = _look(model["words"][0], unique)
+    at = _look(model["words"].hash, unique)
     each = np.zeros((len(unique), len(langs)), np.float32)
-    each[at >= 0] = model["words"][1][at[at >= 0]]
+    model["words"].add(each, np.flatnonzero(at >= 0), at[at >= 0])
     unseen = np.flatnonzero(at < 0)
     if len(unseen):
         each[unseen] = _backoff(model, codes, start[first[unseen]], end[first[unseen]])
@@ -142,7 +173,7 @@ def score(texts: list, model: dict) -> tuple[list[str], np.ndarray]:
     has = np.flatnonzero(n)
     mean = np.add.reduceat(each[back].astype(np.float64), bounds[:-1][has], axis=0) / n[has, None]
     top = mean.argmax(1)
-    scaled = np.exp((mean - mean.max(1, keepdims=True)) * np.minimum(n[has], 20)[:, None])
+    scaled = np.exp((mean - mean.max(1, keepdims=True)) * np.minimum(n[has], INDEPENDENT)[:, None])
     best[has] = 1 / scaled.sum(1)
     for i, k in zip(has, top):
         out[i] = langs[k]

@@ -314,6 +314,69 @@ def test_language(spark):
     assert {x.lang_pred for x in langid.predict(df, none).collect()} == {"und"}
 
 
+def backoff(rows, langs, text):
+    """Language and score by dictionaries, as the method says."""
+    import math
+    from collections import Counter
+
+    words = {x: Counter() for x in langs}
+    for x, t in rows:
+        words[x].update(re.findall(r"[^\W\d_]+", t.lower()))
+    tables = {0: words}
+    for n in langid.LENGTHS:
+        tables[n] = {x: Counter() for x in langs}
+        for x in langs:
+            for w, c in words[x].items():
+                p = f"\x01{w}\x01"
+                for i in range(len(p) - n + 1):
+                    tables[n][x][p[i : i + n]] += c
+
+    def logs(n, s):
+        known = set().union(*tables[n].values())
+        return [math.log((tables[n][x][s] + 0.5) / (sum(tables[n][x].values()) + 0.5 * len(known))) for x in langs] if s in known else None
+
+    each = []
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if (got := logs(0, w)) is None:
+            p, parts = f"\x01{w}\x01", []
+            for i in range(len(p)):
+                known = [logs(n, p[i : i + n]) for n in langid.LENGTHS if i + n <= len(p)]
+                parts += [g for g in known if g][:1]
+            got = [sum(x) / len(parts) for x in zip(*parts)] if parts else [0.0] * len(langs)
+        each.append(got)
+    mean = [sum(x) / len(each) for x in zip(*each)]
+    best = max(range(len(langs)), key=lambda i: mean[i])
+    return langs[best], 1 / sum(math.exp((m - mean[best]) * min(len(each), 20)) for m in mean)
+
+
+def test_language_is_the_backoff_of_dictionaries(spark):
+    r = np.random.default_rng(8)
+    stems = ["lor", "ipsu", "dol", "amet", "zeit", "über", "ña", "x"]
+    made = lambda x, n: " ".join("".join(r.choice(stems[x : x + 6], r.integers(1, 4))) for _ in range(n))
+    rows = [(i, made(i % 3, 12), f"l{i % 3}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df)
+    asked = [made(i % 3, 7) for i in range(12)] + ["qqq", "lorzzz über 7"]
+    found = langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    for t, f in zip(asked, found, strict=True):
+        want = backoff([(x, t_) for _, t_, x in rows], ["l0", "l1", "l2"], t)
+        assert f.lang_pred == want[0] and abs(f.score - want[1]) < 1e-4
+
+
+def test_language_training_drops_no_language_and_no_word(spark):
+    rows = [(i, f"wort{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} gemeinsam", f"l{i:03d}") for i in range(201)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df)
+    assert len(model["langs"]) == 201
+    found = langid.predict(df, model).orderBy("doc_id").collect()
+    assert [f.lang_pred for f in found] == [x for *_, x in rows]  # each by a word seen once
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("eins zwei").alias("text"), F.when(F.col("id") < 4900, "a").otherwise("b").alias("lang"))
+    size = {r.lang: r["count"] for r in langid.sample(many, "text", "lang", "doc_id", 200, 10**6).groupBy("lang").count().collect()}
+    assert 200 <= size["a"] <= 215 and size["b"] == 100
+    few = langid.sample(many, "text", "lang", "doc_id", 200, 50).groupBy("lang").count().collect()
+    assert all(0 < r["count"] < 20 for r in few)
+
+
 # 8
 
 
