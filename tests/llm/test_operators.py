@@ -380,12 +380,15 @@ def test_language_training_drops_no_language_and_no_word(spark):
 # 8
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("least,room", [(8192, 64 << 20), (50, 64 << 20), (50, 8 * 24 * 30)])
+def test_neighbours(spark, least, room, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_CELL", least)
+    monkeypatch.setattr(ann, "LEAF", 16)
     r = np.random.default_rng(3)
     x = r.standard_normal((600, 24)) + 4 * r.standard_normal((12, 24))[r.integers(0, 12, 600)]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] + [1.0] * 23), (1003, [None] + [1.0] * 23), (1004, [1.0]), (1100, x[0].tolist()), (None, x[1].tolist())]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("i", F.lit(1)).withColumn("v", F.lit(2))
-    found = ann.search(df, df.where("vec_id % 100 = 0"), k=10).collect()
+    found = ann.search(df, df.where("vec_id % 100 = 0"), k=10, cell_bytes=room).collect()
     by = {}
     for t in sorted(found, key=lambda t: (t.query_id, t.rank)):
         by.setdefault(t.query_id, []).append((t.score, t.vec_id))
@@ -401,6 +404,25 @@ def test_neighbours(spark):
     assert ann.search(df.where("false"), df.where("false")).count() == 0
     assert ann.search(df.where("vec_id < 4"), df.where("vec_id = 0")).count() == 3
     assert abs(float(ann.chi_square_cdf(np.array(2.0), 2)) - (1 - np.exp(-1))) < 1e-12
+    assert abs(ann.chi_square_cdf(ann.chi_square_quantile(0.9, 24), 24) - 0.9) < 1e-9
+
+
+def test_neighbours_verify_few(spark):
+    """The stopping test leaves most rows alone, and equal vectors are found by their ids."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((8000, 64)) + 3 * r.standard_normal((40, 64))[r.integers(0, 40, 8000)]
+    x[500:700] = x[499]
+    shard = ann.Shard(np.arange(8000), x, 24, 0.9, 7)
+    hits = 0
+    for q in range(0, 8000, 200):
+        got = shard.search(q, x[q], 10)[0]
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(got.tolist()) & set(np.lexsort((np.arange(8000), d))[:10].tolist()))
+    assert hits >= 0.9 * 10 * 40 and shard.verified < 0.3 * 40 * 8000
+    assert shard.search(600, x[600], 10)[0].tolist() == list(range(499, 509))
+    far, dist = shard.search(0, x[0], 10, 0.0)
+    assert len(far) == len(dist) == 0
 
 
 # 9
