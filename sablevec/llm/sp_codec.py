@@ -1,13 +1,18 @@
 """SentencePiece models on the tokenizers library.
 
 The model file (a protobuf message) is parsed field by field; its normaliser, metaspace marker, scores and byte
-pieces are rebuilt as a tokenizers pipeline, for unigram and BPE models alike. A text is cut before each run of
-markers, where no piece can cross (checked against the vocabulary), so that word caches apply. Batches are
-encoded by the library's own threads.
+pieces are rebuilt as a tokenizers pipeline, for unigram and BPE models alike.
 
-Parity is verified, not assumed: ``verify`` compares ids with the sentencepiece library, and every encoded text
-is decoded again; a text that doesn't come back is encoded and decoded by the sentencepiece library itself, and
-counted as ``exact`` false if it still differs (such as text that holds the marker character itself).
+Texts are normalised and cut before each run of markers, where no piece can cross (checked against the
+vocabulary). Each distinct cut of a batch is encoded by the library, in batches on its own threads, and decoded
+again; texts are put together from them. A worker keeps what it has encoded, up to ``KEPT`` cuts. A model whose
+pieces can hold a marker inside, or that adds none, and a unigram model, whose sums of scores round otherwise in
+another place of a text, is given whole texts instead.
+
+Parity is verified, not assumed: the ids of every distinct cut are compared with the sentencepiece library's, and a
+text with a cut that differs is compared as a whole. ``parity`` tells whether a text's ids are the library's,
+``exact`` whether they decode to the text itself (not so for text that holds the marker character, or that the
+model's normaliser changes). All ids come from the tokenizers pipeline.
 
 Defined results: null or empty text has no tokens and decodes to the empty text; repeated rows are treated
 alike; other columns are kept or ignored as asked; an empty table gives an empty result; whole texts are encoded.
@@ -17,6 +22,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -30,6 +37,10 @@ MARK = "▁"
 #: Kinds of a piece and of a model, as fixed by the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Encoded cuts that a worker keeps between batches.
+KEPT = 400_000
+#: Strings that new cuts are joined to for the library.
+RUNS = 16
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -109,29 +120,114 @@ def build(data: bytes):
     return out
 
 
-@functools.lru_cache(2)
-def _backend(data: bytes):
-    return build(data)
+class Codec:
+    """Encodes and decodes texts, and compares both with the sentencepiece library."""
+
+    def __init__(self, data: bytes):
+        import sentencepiece
+        from tokenizers import decoders, normalizers
+
+        m = parse(data)
+        self.whole, self.cuts = build(data), build(data)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.apart = m["kind"] == BPE and m["dummy_prefix"] and self.whole.pre_tokenizer is not None
+        if self.apart:  # cuts are normalised already, and only a text's first one loses its marker
+            self.cuts.normalizer = normalizers.Sequence([])
+            self.cuts.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.begins = np.array([p.startswith(MARK) for p, *_ in m["pieces"]])
+        self.markers = np.array([p.strip(MARK) == "" for p, *_ in m["pieces"]])
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.same, self.back = np.zeros(0, bool), []
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, bool, list[str] | None]:
+        """Ids of cuts, how many each has, whether all are the library's, and None if all decode to themselves.
+
+        Cuts are encoded one behind another: each begins at the next marker that no other one precedes.
+        """
+        cuts = [len(new) * i // RUNS for i in range(RUNS + 1)]
+        parts = [new[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        runs = ["".join(p) for p in parts]
+        got = [e.ids for e in self.cuts.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = [np.array(g, np.int32) for g in got]
+        begin = [np.flatnonzero(self.begins[g] & ~np.concatenate([[False], self.markers[g[:-1]]])) for g in ids]
+        if [len(x) for x in begin] != [len(p) for p in parts]:
+            return self._singly(new)
+        size = np.concatenate([np.diff(np.append(x, len(g))) for x, g in zip(begin, ids, strict=True)])
+        head = self.library.encode("a")
+        same = all(w == head + g for w, g in zip(self.library.encode(["a" + r.replace(MARK, " ") for r in runs], num_threads=1), got, strict=True))
+        back = self.cuts.decode_batch(got, skip_special_tokens=False)
+        plain = all(b == r.replace(MARK, " ") for b, r in zip(back, runs, strict=True))
+        return (np.concatenate(ids), size, True, None) if same and plain else self._singly(new)
+
+    def _singly(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        ids = [e.ids for e in self.cuts.encode_batch_fast(new, add_special_tokens=False)]
+        if self.apart:  # behind a word of their own, as the library adds a marker to the first one
+            head = self.library.encode("a")
+            want = self.library.encode(["a" + x.replace(MARK, " ") for x in new], num_threads=1)
+        else:
+            head, want = [], self.library.encode(new, num_threads=1)
+        same = np.array([w == head + i for w, i in zip(want, ids, strict=True)], bool)
+        return np.array([x for i in ids for x in i], np.int32), np.array([len(i) for i in ids], np.int64), same, self.cuts.decode_batch(ids, skip_special_tokens=False)
+
+    def _learn(self, new: list[str]) -> None:
+        joined = [x for x in new if x.strip(MARK)] if self.apart else []
+        for one, some in ((self._encoded, joined), (self._singly, [x for x in new if not x.strip(MARK)] if self.apart else new)):
+            if some:
+                ids, size, same, back = one(some)
+                self.at.update(zip(some, range(len(self.at), len(self.at) + len(some)), strict=True))
+                self.flat = np.concatenate([self.flat, ids])
+                self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+                self.same = np.concatenate([self.same, np.broadcast_to(same, len(some))])
+                self.back += back or [x.replace(MARK, " ") for x in some]
+
+    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """All ids, where each text's begin (and the end), the decoded texts, and whether the ids are the library's."""
+        if len(self.at) > KEPT:
+            self.forget()
+        normal = self.whole.normalizer.normalize_str
+        parts = [_CUT.findall(normal(t)) if self.apart else [t] for t in texts]
+        all_ = list(itertools.chain.from_iterable(parts))
+        new = list({x: None for x in all_ if x not in self.at})
+        if new:
+            self._learn(new)
+        of = np.fromiter(map(self.at.__getitem__, all_), np.int64, len(all_))
+        text = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        size = self.first[of + 1] - self.first[of]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.first[of] - ends[:-1], size) + np.arange(ends[-1])]
+        begin = ends[text]
+        wrong = np.concatenate([[0], np.cumsum(~self.same[of])])
+        parity = wrong[text[1:]] == wrong[text[:-1]]
+        for i in np.flatnonzero(~parity):
+            parity[i] = self.library.encode(texts[i]) == ids[begin[i] : begin[i + 1]].tolist()
+        back = ["".join([self.back[x] for x in of[a:b].tolist()]) for a, b in zip(text, text[1:], strict=False)]
+        return ids, begin, [t.removeprefix(" ") for t in back] if self.apart else back, parity
+
+
+_CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 @functools.lru_cache(2)
-def _original(data: bytes):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_proto=data)
+def _codec(data: bytes) -> Codec:
+    return Codec(data)
 
 
 def encode(data: bytes, texts: list) -> list[list[int]]:
-    return [e.ids for e in _backend(data).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    ids, begin, *_ = _codec(data).run([t or "" for t in texts])
+    return [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)]
 
 
 def decode(data: bytes, ids: list[list[int]]) -> list[str]:
-    return _backend(data).decode_batch(ids, skip_special_tokens=False)
+    return _codec(data).whole.decode_batch(ids, skip_special_tokens=False)
 
 
 def verify(data: bytes, texts: list[str]) -> list[int]:
-    """Positions of texts whose ids differ from the sentencepiece library's."""
-    return [i for i, (a, b) in enumerate(zip(encode(data, texts), _original(data).encode(texts, num_threads=1), strict=True)) if a != b]
+    """Positions of texts whose ids differ from the sentencepiece library's, compared as wholes."""
+    return [i for i, (a, b) in enumerate(zip(encode(data, texts), _codec(data).library.encode(texts, num_threads=1), strict=True)) if a != b]
 
 
 def load(spark, path: str) -> bytes:
@@ -144,30 +240,26 @@ def load(spark, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def codec(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded", "exact")) -> DataFrame:
+def codec(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded", "exact", "parity")) -> DataFrame:
     """``keep`` columns and the asked ``outputs`` of encoding each text and decoding it again."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "exact": "boolean"}
+    kinds = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "exact": "boolean", "parity": "boolean"}
     src = docs.select(*[docs[f"`{k}`"].alias(f"k{i}") for i, k in enumerate(keep)], docs[f"`{text}`"].alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t", 1 << 20):
                 texts = [t or "" for t in part.column("t").to_pylist()]
-                ids = encode(shared.value, texts)
-                back = decode(shared.value, ids)
-                for i in [i for i, (a, b) in enumerate(zip(texts, back, strict=True)) if a != b]:
-                    ids[i] = _original(shared.value).encode(texts[i])
-                    back[i] = _original(shared.value).decode(ids[i])
-                made = {"n_tokens": pa.array([len(x) for x in ids], pa.int64())}
+                ids, begin, back, parity = _codec(shared.value).run(texts)
+                made = {"n_tokens": pa.array(np.diff(begin), pa.int64()), "parity": pa.array(parity)}
                 if "ids" in outputs:
-                    made["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids))
                 if "ids_sha256" in outputs:
-                    made["ids_sha256"] = pa.array([hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids])
+                    made["ids_sha256"] = pa.array([hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(begin, begin[1:], strict=False)], pa.string())
                 if "decoded" in outputs:
-                    made["decoded"] = pa.array(back)
+                    made["decoded"] = pa.array(back, pa.string())
                 if "exact" in outputs:
-                    made["exact"] = pa.array([a == b for a, b in zip(texts, back, strict=True)])
+                    made["exact"] = pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[made[o] for o in outputs]], [*part.schema.names[: len(keep)], *outputs])
 
     schema = ", ".join([f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))] + [f"{o} {kinds[o]}" for o in outputs])

@@ -46,7 +46,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert 18 in want and "[SECRET]" in want[18] and not {12, 13, 14, 15, 16, 17, 19} & set(want)
     found = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(found) == set(want)
-    assert [found[d].ids for d in sorted(want)] == sp_codec._original(sp_codec.load(spark, MODEL)).encode([want[d] for d in sorted(want)])
+    assert [found[d].ids for d in sorted(want)] == sp_codec._codec(sp_codec.load(spark, MODEL)).library.encode([want[d] for d in sorted(want)])
     assert found[3].lang == "en" and all(r.exact for r in found.values())
 
 
