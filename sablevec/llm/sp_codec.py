@@ -99,7 +99,9 @@ def build(data: bytes):
         raise ValueError("models with a suffix marker, plain spaces or user-defined pieces aren't supported")
     unknown = next((i for i, x in enumerate(rows) if x[2] == UNKNOWN), None)
     if m["kind"] == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in rows], unknown, m["byte_fallback"])
+        # no text is matched by a control piece (normalised text has no space) nor, but as a last resort, by a byte's name
+        reach = {NORMAL: lambda p, s: (p, s), BYTE: lambda p, s: (p, -1e4)}
+        model = models.Unigram([reach.get(kind, lambda p, s: (f" {p}", s))(p, s) for p, s, kind in rows], unknown, m["byte_fallback"])
     elif m["kind"] == BPE:
         score = {p: s for p, s, kind in rows if kind in (NORMAL, UNUSED)}
         splits = [(-s, p, i) for p, s in score.items() for i in range(1, len(p)) if p[:i] in score and p[i:] in score]
@@ -134,22 +136,26 @@ class Codec:
         if self.apart:  # cuts are normalised already, and only a text's first one loses its marker
             self.cuts.normalizer = normalizers.Sequence([])
             self.cuts.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.plain = not m["charsmap"] and not m["squeeze"]  # the normaliser is a marker before the text and for each space
         self.begins = np.array([p.startswith(MARK) for p, *_ in m["pieces"]])
         self.markers = np.array([p.strip(MARK) == "" for p, *_ in m["pieces"]])
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.same, self.back = np.zeros(0, bool), []
+        self.at: dict[str, int] = {}  # the number of each cut
+        self.slot = np.zeros(0, np.int64)  # and where its ids are
+        self.flat, self.first, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.back: list[str] = []
 
-    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, bool, list[str] | None]:
-        """Ids of cuts, how many each has, whether all are the library's, and None if all decode to themselves.
+    def _joined(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, object, list[str]]:
+        """Ids of cuts, how many each has, which are the library's, and the cuts decoded.
 
-        Cuts are encoded one behind another: each begins at the next marker that no other one precedes.
+        Cuts are encoded one behind another: each begins at the next marker that no other one precedes. Cuts of
+        nothing but markers, which come last, are encoded alone.
         """
-        cuts = [len(new) * i // RUNS for i in range(RUNS + 1)]
-        parts = [new[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        text = sum(x[-1] != MARK for x in new)
+        cuts = sorted({text * i // RUNS for i in range(RUNS + 1)} | set(range(text, len(new) + 1)))
+        parts = [new[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         runs = ["".join(p) for p in parts]
         got = [e.ids for e in self.cuts.encode_batch_fast(runs, add_special_tokens=False)]
         ids = [np.array(g, np.int32) for g in got]
@@ -157,44 +163,46 @@ class Codec:
         if [len(x) for x in begin] != [len(p) for p in parts]:
             return self._singly(new)
         size = np.concatenate([np.diff(np.append(x, len(g))) for x, g in zip(begin, ids, strict=True)])
-        head = self.library.encode("a")
-        same = all(w == head + g for w, g in zip(self.library.encode(["a" + r.replace(MARK, " ") for r in runs], num_threads=1), got, strict=True))
-        back = self.cuts.decode_batch(got, skip_special_tokens=False)
-        plain = all(b == r.replace(MARK, " ") for b, r in zip(back, runs, strict=True))
-        return (np.concatenate(ids), size, True, None) if same and plain else self._singly(new)
+        head, plain = self.library.encode("a"), [r.replace(MARK, " ") for r in runs]
+        want = self.library.encode(["a" + r for r in plain], num_threads=1)
+        if any(w != head + g for w, g in zip(want, got, strict=True)) or self.cuts.decode_batch(got, skip_special_tokens=False) != plain:
+            return self._singly(new)
+        return np.concatenate(ids), size, True, [x.replace(MARK, " ") for x in new]
 
-    def _singly(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    def _singly(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, object, list[str]]:
         ids = [e.ids for e in self.cuts.encode_batch_fast(new, add_special_tokens=False)]
         if self.apart:  # behind a word of their own, as the library adds a marker to the first one
             head = self.library.encode("a")
             want = self.library.encode(["a" + x.replace(MARK, " ") for x in new], num_threads=1)
         else:
             head, want = [], self.library.encode(new, num_threads=1)
-        same = np.array([w == head + i for w, i in zip(want, ids, strict=True)], bool)
+        same = [w == head + i for w, i in zip(want, ids, strict=True)]
         return np.array([x for i in ids for x in i], np.int32), np.array([len(i) for i in ids], np.int64), same, self.cuts.decode_batch(ids, skip_special_tokens=False)
 
     def _learn(self, new: list[str]) -> None:
-        joined = [x for x in new if x.strip(MARK)] if self.apart else []
-        for one, some in ((self._encoded, joined), (self._singly, [x for x in new if not x.strip(MARK)] if self.apart else new)):
-            if some:
-                ids, size, same, back = one(some)
-                self.at.update(zip(some, range(len(self.at), len(self.at) + len(some)), strict=True))
-                self.flat = np.concatenate([self.flat, ids])
-                self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-                self.same = np.concatenate([self.same, np.broadcast_to(same, len(some))])
-                self.back += back or [x.replace(MARK, " ") for x in some]
+        order = sorted(range(len(new)), key=lambda i: new[i][-1] == MARK) if self.apart else range(len(new))
+        ids, size, same, back = (self._joined if self.apart else self._singly)([new[i] for i in order])
+        slot = np.empty(len(new), np.int64)
+        slot[list(order)] = np.arange(len(new)) + len(self.slot)
+        self.slot, self.flat = np.concatenate([self.slot, slot]), np.concatenate([self.flat, ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+        self.same = np.concatenate([self.same, np.broadcast_to(same, len(new))])
+        self.back += back
 
     def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
         """All ids, where each text's begin (and the end), the decoded texts, and whether the ids are the library's."""
         if len(self.at) > KEPT:
             self.forget()
-        normal = self.whole.normalizer.normalize_str
-        parts = [_CUT.findall(normal(t)) if self.apart else [t] for t in texts]
-        all_ = list(itertools.chain.from_iterable(parts))
-        new = list({x: None for x in all_ if x not in self.at})
-        if new:
-            self._learn(new)
-        of = np.fromiter(map(self.at.__getitem__, all_), np.int64, len(all_))
+        if self.apart:
+            normal = (lambda t: t and MARK + t.replace(" ", MARK)) if self.plain else self.whole.normalizer.normalize_str
+            parts = [_CUT.findall(normal(t)) for t in texts]
+        else:
+            parts = [[t] for t in texts]
+        at, known = self.at, len(self.at)
+        number = [at.setdefault(x, len(at)) for p in parts for x in p]
+        if len(at) > known:
+            self._learn(list(itertools.islice(at, known, None)))
+        of = self.slot[np.array(number, np.int64)]
         text = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         size = self.first[of + 1] - self.first[of]
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -204,7 +212,8 @@ class Codec:
         parity = wrong[text[1:]] == wrong[text[:-1]]
         for i in np.flatnonzero(~parity):
             parity[i] = self.library.encode(texts[i]) == ids[begin[i] : begin[i + 1]].tolist()
-        back = ["".join([self.back[x] for x in of[a:b].tolist()]) for a, b in zip(text, text[1:], strict=False)]
+        piece = self.back.__getitem__
+        back = ["".join(map(piece, of[a:b].tolist())) for a, b in zip(text, text[1:], strict=False)]
         return ids, begin, [t.removeprefix(" ") for t in back] if self.apart else back, parity
 
 

@@ -327,9 +327,10 @@ def test_large_unigram_model(spark, texts):
     library = sp_codec._codec(data).library
     apart = [r for r in found if not r.parity]
     assert len(apart) < 10 and all(r.parity == (r.ids == library.encode(r.text)) for r in found)
-    # of two ways with one score the libraries may take either, as in "%%" and "%"
-    assert all(sorted(r.ids) == sorted(library.encode(r.text)) for r in apart)
-    odd = ["  two  spaces\n\tand\ttabs ", "日本語 😀 \x00", "<s> </s>", "▁a", "a" * 300, " "]
+    # of two ways with one score, up to the rounding of sums over a text, the libraries may take either, as in "%%" and "%"
+    score = [s for _, s, _ in sp_codec.parse(data)["pieces"]]
+    assert all(abs(sum(score[i] for i in r.ids) - sum(score[i] for i in library.encode(r.text))) < 0.01 for r in apart)
+    odd = ["  two  spaces\n\tand\ttabs ", "日本語 😀 \x00", "<s> </s> <0x0A> <unk>", "▁a", " "]
     assert sp_codec.verify(data, [t or "" for t in texts] + odd) == []
 
 
@@ -337,7 +338,7 @@ def test_parity_is_reported(monkeypatch):
     with open(MODEL, "rb") as f:
         codec = sp_codec.Codec(f.read())
     codec.library = sp_codec._codec(unigram(open(MODEL, "rb").read())).library  # another model's
-    *_, parity = codec.run(["the unverifiable quickness of rivers", "a", ""])
+    *_, parity = codec.run([prose(1, 200) + " zyzzyvaquixotically straightforwardness", "a", ""])
     assert parity.tolist() == [False, True, True]
     monkeypatch.setattr(sp_codec, "KEPT", 0)
     ids, begin, back, _ = codec.run(["again  and again"])
