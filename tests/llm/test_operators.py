@@ -337,9 +337,17 @@ def test_large_unigram_model(spark, texts):
 def test_parity_is_reported(monkeypatch):
     with open(MODEL, "rb") as f:
         codec = sp_codec.Codec(f.read())
-    codec.library = sp_codec._codec(unigram(open(MODEL, "rb").read())).library  # another model's
-    *_, parity = codec.run([prose(1, 200) + " zyzzyvaquixotically straightforwardness", "a", ""])
-    assert parity.tolist() == [False, True, True]
+    real = codec.library
+
+    class Other:
+        """A library that reads one word backwards."""
+
+        def encode(self, x, num_threads=1):
+            return [self.encode(y) for y in x] if isinstance(x, list) else real.encode(x)[:: -1 if "unverifiable" in x else 1]
+
+    codec.library = Other()
+    *_, parity = codec.run(["the unverifiable quickness of rivers", "the quickness", "a", ""])
+    assert parity.tolist() == [False, True, True, True]
     monkeypatch.setattr(sp_codec, "KEPT", 0)
     ids, begin, back, _ = codec.run(["again  and again"])
     assert back == ["again  and again"] and begin.tolist() == [0, len(ids)] and len(codec.at) == 3
