@@ -2,18 +2,19 @@
 
 Each run of documents is a training shard. Words of a shard that no benchmark match can pass through (those in
 no word pair of the benchmark) are cut out, which loses no match; the rest becomes a suffix array over word
-numbers. Every benchmark suffix, as far as one window reaches, is looked up by binary search; the ranges found
-give all verbatim occurrences, and neighbouring ones on one diagonal join into the longest matches. Affected
-documents can then be removed. Documents are read once and never shuffled.
+numbers, made by induced sorting. Every benchmark suffix that begins with a word pair of the shard is looked up by
+binary search, as far as one window reaches; the ranges found give all verbatim occurrences, and neighbouring ones
+on one diagonal join into the longest matches, with their places in item and document. Affected documents can then
+be removed. Documents are read once and never shuffled.
 
 The benchmark is a stated query set: it is broadcast in blocks of at most ``block_bytes`` bytes of text, as many
-as its size asks for, and a worker holds one block at a time.
+as its size asks for. The driver makes one block at a time, of arrays only, and a worker holds one at a time.
 
 Words are runs of ASCII letters and digits and of any non-ASCII characters, A-Z in lower case. A window is
 ``window`` words of an item in a row, or all words of a shorter item.
 
 Defined results: null or empty text has no words and is clean; items without words or with a null id hit
-nothing; items that share an id count once; repeated rows are treated alike; other columns are ignored; an
+nothing; items that share an id count once, and equal ones of one id are one; repeated rows are treated alike; other columns are ignored; an
 empty table on either side gives clean results or none; whole texts are read.
 """
 
@@ -27,33 +28,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablevec.llm.common import ALNUM, Words, pieces, utf8
+from sablevec.llm.common import ALNUM, Words, mix, pieces, utf8
+from sablevec.llm.suffix_array import suffix_array
 
 
 class Block:
-    """Windows of a part of the benchmark, as rows of word numbers padded with 0."""
+    """Suffixes of a part of the benchmark, as far as a window reaches: where each begins, its words, and all its places."""
 
     def __init__(self, rows: list[tuple[str, str]], window: int):
-        self.window = window
+        self.window, self.ids = window, [i for i, _ in rows]
         data, offsets = utf8(pa.array([t for _, t in rows], pa.string()))
         w = Words(data, offsets, ALNUM)
         self.vocabulary, numbers = np.unique(w.hash, return_inverse=True)
-        numbers = numbers + 1
-        made, self.ids = {}, []
-        for i, (item, _) in enumerate(rows):
-            words = numbers[w.first[i] : w.first[i + 1]]
-            self.ids.append(item)
-            for at in range(max(1, len(words) - window + 1) if len(words) else 0):
-                made.setdefault(tuple(words[at : at + window]), []).append((i, at))
-        keys = sorted(made)
-        self.size = np.array([len(k) for k in keys], int)
-        self.words = np.zeros((len(keys), window), np.int64)
-        for i, k in enumerate(keys):
-            self.words[i, : len(k)] = k
-        self.items = [made[k] for k in keys]
-        inside = self.words[:, 1:] > 0
-        self.pairs = np.unique(self._pair(self.words[:, :-1][inside], self.words[:, 1:][inside]))
-        self.single = np.unique(self.words[self.size == 1, 0]) if len(keys) else np.zeros(0, int)
+        self.numbers = np.concatenate([numbers + 1, np.zeros(window, np.int64)])
+        n = np.where(w.count >= window, w.count - window + 1, w.count > 0)
+        item = np.repeat(np.arange(len(rows)), n)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        start, size = w.first[item] + at, np.minimum(w.count[item], window)
+        h = size.astype(np.uint64)
+        for j in range(window):
+            word = np.where(size > j, self.numbers[start + j], 0).astype(np.uint64)
+            h = mix(h * np.uint64(0x8CB92BA72F3D8DD7) + word)
+        _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        self.start, self.size = start[first], size[first]
+        order = np.argsort(kind, kind="stable")
+        self.item, self.at, self.first = item[order], at[order], np.searchsorted(kind[order], np.arange(len(first) + 1))
+        same = w.row[1:] == w.row[:-1]
+        self.pairs = np.unique(self._pair(numbers[:-1][same] + 1, numbers[1:][same] + 1))
+        self.single = np.unique(self.numbers[self.start[self.size == 1]])
+
+    def places(self, kind: int) -> list[tuple[int, int]]:
+        """Items and word places of a suffix."""
+        lo, hi = self.first[kind : kind + 2]
+        return list(zip(self.item[lo:hi].tolist(), self.at[lo:hi].tolist(), strict=True))
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a * (len(self.vocabulary) + 1) + b
@@ -84,29 +91,36 @@ class Block:
         return shard, where
 
     def find(self, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (window, place in the shard) with the window's words at that place."""
-        if not len(shard) or not len(self.words):
+        """All (suffix, place in the shard) with the suffix's words at that place."""
+        if not len(shard) or not len(self.start):
             return np.zeros(0, int), np.zeros(0, int)
-        sa = suffix_array(shard, self.window)
+        # a suffix whose first word pair (only word) isn't in the shard has no match
+        pairs = np.unique(self._pair(shard[:-1], shard[1:]))
+        begins = np.isin(self._pair(self.numbers[self.start], self.numbers[self.start + 1]), pairs)
+        which = np.flatnonzero(np.where(self.size > 1, begins, np.isin(self.numbers[self.start], shard)))
+        if not len(which):
+            return np.zeros(0, int), np.zeros(0, int)
+        rank = np.unique(shard, return_inverse=True)[1]
+        sa = suffix_array(rank.astype(np.min_scalar_type(len(rank))))
         padded = np.concatenate([shard, np.zeros(self.window, np.int64)])
-        lo, hi = self._bound(sa, padded, False), self._bound(sa, padded, True)
+        lo, hi = self._bound(which, sa, padded, False), self._bound(which, sa, padded, True)
         n = hi - lo
-        which = np.repeat(np.arange(len(n)), n)
-        place = sa[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
-        return which, place
+        place = sa[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        return np.repeat(which, n), place
 
-    def _bound(self, sa: np.ndarray, padded: np.ndarray, after: bool) -> np.ndarray:
-        """For each window the first suffix not before it, or (``after``) the first that is behind all with its words."""
-        lo, hi = np.zeros(len(self.words), int), np.full(len(self.words), len(sa))
+    def _bound(self, which: np.ndarray, sa: np.ndarray, padded: np.ndarray, after: bool) -> np.ndarray:
+        """For each suffix the first of the shard's not before it, or (``after``) the first that is behind all with its words."""
+        lo, hi = np.zeros(len(which), int), np.full(len(which), len(sa))
+        start, size = self.start[which], self.size[which]
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) // 2
-            order = np.zeros(len(open_), np.int8)  # of the suffix against the window: -1, 0, 1
+            order = np.zeros(len(open_), np.int8)  # of the shard's suffix against the benchmark's: -1, 0, 1
             live = np.arange(len(open_))
             for j in range(self.window):
-                live = live[self.size[open_[live]] > j]
+                live = live[size[open_[live]] > j]
                 if not len(live):
                     break
-                a, b = padded[sa[mid[live]] + j], self.words[open_[live], j]
+                a, b = padded[sa[mid[live]] + j], self.numbers[start[open_[live]] + j]
                 order[live] = np.sign(a - b)
                 live = live[a == b]
             right = order < 0 if not after else order <= 0
@@ -115,27 +129,9 @@ class Block:
         return lo
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` numbers at least, by doubling of ranks."""
-    n = len(text)
-    rank, reach = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while reach < depth:
-        key = rank * np.int64(max(n, int(rank.max())) + 2)
-        key[: n - reach] += rank[reach:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
-        if rank[order[-1]] == n - 1:
-            break
-        reach *= 2
-    return order
-
-
-def blocks(benchmark: DataFrame, window: int, item: str = "item_id", text: str = "text", block_bytes: int = 32 << 20) -> list:
+def blocks(benchmark: DataFrame, window: int, item: str = "item_id", text: str = "text", block_bytes: int = 8 << 20) -> list:
     """The benchmark as broadcast blocks; each is read by the driver on its own."""
-    b = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    b = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
     size = b.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     share = b.sparkSession.sparkContext.broadcast
@@ -147,7 +143,7 @@ def _scan(part: pa.RecordBatch, column: str, shared: list, window: int) -> tuple
     w = Words(data, offsets, ALNUM)
     hit = np.zeros(len(w.hash) + 1, np.int32)
     items, matches = [set() for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
-    for one in shared:
+    for number, one in enumerate(shared):
         block = one.value
         shard, where = block.compact(block.number(w.hash), w.row)
         which, place = block.find(shard)
@@ -157,26 +153,24 @@ def _scan(part: pa.RecordBatch, column: str, shared: list, window: int) -> tuple
         rows = w.row[place]
         seen = np.unique(np.stack([rows, which]), axis=1) if len(rows) else np.zeros((2, 0), int)
         for r, k in seen.T:
-            items[r].update(block.ids[i] for i, _ in block.items[k])
-        for r, k, p in zip(rows, which, place - w.first[rows]):
-            matches[r].append((block, k, p))
+            items[r].update(block.ids[i] for i, _ in block.places(k))
+        for r, k, p in zip(rows.tolist(), which.tolist(), (place - w.first[rows]).tolist(), strict=True):
+            matches[r] += [(p, number, i, block.ids[i], at, int(block.size[k])) for i, at in block.places(k)]
         if len(shared) > 1 and hasattr(one, "_value"):
             del one._value  # the next block takes its place
     return w, np.cumsum(hit[:-1]) > 0, items, matches
 
 
-def _longest(matches: list) -> list[dict]:
+def _longest(matches: list[tuple]) -> list[dict]:
     """Windows on one diagonal of item and document that touch, joined: the longest verbatim matches."""
     ends: dict = {}
     out = []
-    for block, k, p in sorted(matches, key=lambda m: m[2]):
-        for i, at in block.items[k]:
-            size = int(block.size[k])
-            if (m := ends.get((block.ids[i], i, at - p))) and m["doc_word"] + m["n_words"] == p + size - 1:
-                m["n_words"] += 1
-            else:
-                m = ends[(block.ids[i], i, at - p)] = {"item_id": block.ids[i], "item_word": at, "doc_word": int(p), "n_words": size}
-                out.append(m)
+    for p, number, i, item, at, size in sorted(matches):
+        if (m := ends.get((number, i, at - p))) and m["doc_word"] + m["n_words"] == p + size - 1:
+            m["n_words"] += 1
+        else:
+            m = ends[(number, i, at - p)] = {"item_id": item, "item_word": at, "doc_word": p, "n_words": size}
+            out.append(m)
     return out
 
 
@@ -209,4 +203,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **args) ->
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """Of ``hits`` with ``locate``: the counts, and the number and greatest length of the longest matches."""
+    longest = F.coalesce(F.array_max(F.expr("transform(matches, m -> m.n_words)")), F.lit(0)).cast("bigint")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("matches").cast("bigint").alias("n_matches"), longest.alias("n_longest"))

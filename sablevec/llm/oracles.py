@@ -41,11 +41,16 @@ FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.a = w.doc_i
 
 _RX = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 BENCHMARK = f"""WITH words AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all({_LOWER}, {_RX}) w FROM documents),
-items AS (SELECT item_id::VARCHAR i, regexp_extract_all({_LOWER}, {_RX}) w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT row_number() OVER () ir, i, w FROM (SELECT DISTINCT item_id::VARCHAR i, text, regexp_extract_all({_LOWER}, {_RX}) w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
 windows AS (SELECT DISTINCT i, array_to_string(w[k:k + 9], ' ') g, least(len(w), 10) n FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(k) WHERE len(w) > 0),
 places AS (SELECT rid, k, n, array_to_string(w[k:k + n - 1], ' ') g FROM words, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS u(k)),
 hits AS (SELECT DISTINCT rid, k, places.n, i FROM places JOIN windows ON windows.g = places.g AND windows.n = places.n),
 covered AS (SELECT rid, count(DISTINCT p) n_hit FROM hits, unnest(range(k, k + n)) AS u(p) GROUP BY rid),
+suffixes AS (SELECT ir, o, array_to_string(w[o:o + 9], ' ') g, least(len(w), 10) n FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(o) WHERE len(w) > 0),
+diagonals AS (SELECT rid, ir, k - o diagonal, n, k - row_number() OVER (PARTITION BY rid, ir, k - o ORDER BY k) island FROM places JOIN suffixes USING (g, n)),
+matches AS (SELECT rid, any_value(n) + count(*) - 1 n_words FROM diagonals GROUP BY rid, ir, diagonal, island),
+longest AS (SELECT rid, count(*) n_matches, max(n_words) n_longest FROM matches GROUP BY rid),
 named AS (SELECT rid, count(*) n_items, string_agg(i, ',' ORDER BY i) ids FROM (SELECT DISTINCT rid, i FROM hits) GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-FROM words LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)"""
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated,
+    coalesce(n_matches, 0)::BIGINT n_matches, coalesce(n_longest, 0)::BIGINT n_longest
+FROM words LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid) LEFT JOIN longest USING (rid)"""
