@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sablevec.llm.common import fresh
+
 KINDS = ("email", "iban", "phone", "ip", "date", "ssn", "card")
 
 _BEFORE, _AFTER = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
@@ -137,12 +139,12 @@ def found(text: str, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``pii_found`` (kind, s, e, new) and the text rewritten in ``text``."""
-    t = f"`{text}`"
-    rebuilt = f"""aggregate(pii_found, struct(0 as pos, cast(array() as array<string>) as out),
+    """``docs`` with the text rewritten in ``text``, and behind its columns ``pii_found`` (kind, s, e, new), or that name with more underscores where it is taken."""
+    t, name = f"`{text}`", fresh(docs.columns, "pii_found")
+    rebuilt = f"""aggregate({name}, struct(0 as pos, cast(array() as array<string>) as out),
         (a, x) -> struct(x.e as pos, concat(a.out, array(substring({t}, a.pos + 1, x.s - a.pos), x.new)) as out),
         a -> concat(array_join(a.out, ''), substring({t}, a.pos + 1)))"""
-    return docs.withColumn("pii_found", found(text, key)).withColumn(text, F.expr(f"case when size(pii_found) > 0 then {rebuilt} else {t} end"))
+    return docs.withColumn(name, found(text, key)).withColumn(text, F.expr(f"case when size({name}) > 0 then {rebuilt} else {t} end"))
 
 
 def report(docs: DataFrame, key: str) -> DataFrame:

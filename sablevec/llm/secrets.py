@@ -49,13 +49,13 @@ def _found(kind: int, pattern: str, value: int, keep: str, seek: str = "") -> st
     return f"case when t rlike {_q(seek or pattern)} then {made} else {NONE} end"
 
 
-def candidates(docs: DataFrame, text: str = "text", owner: str | None = "source", repo: str | None = "doc_id", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of ``docs`` with a row number, the owner, the repository, ``base`` and ``generic`` matches."""
+def candidates(docs: DataFrame, text: str = "text", owner: str | None = "source", repo: str | None = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``k0`` and so on for ``keep``, a row number, the owner, the repository, ``base`` and ``generic`` matches."""
     t = docs.select(
-        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
-        (F.col(owner).cast("string") if owner else F.lit(None).cast("string")).alias("owner"),
-        (F.col(repo).cast("string") if repo else F.lit(None).cast("string")).alias("repo"),
-        F.coalesce(F.col(text), F.lit("")).alias("t"),
+        *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)],
+        (F.col(f"`{owner}`").cast("string") if owner else F.lit(None).cast("string")).alias("owner"),
+        (F.col(f"`{repo}`").cast("string") if repo else F.lit(None).cast("string")).alias("repo"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"),
     )
     base = f"""concat({_found(0, ASSIGN, 2, "length(x.v) >= 6", "(?i:password|passwd|secret|token|api_?key)")},
         {_found(1, ACCESS, 0, "true")}, {_found(2, HEX, 0, "true")})"""
@@ -69,24 +69,29 @@ def candidates(docs: DataFrame, text: str = "text", owner: str | None = "source"
     )
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str | None = "source", repo: str | None = "doc_id", keys: tuple[str, ...] = ("doc_id",), max_owners: int = 2, max_repos: int = 20) -> DataFrame:
-    """One row per row of ``docs``: ``keys``, and ``found`` (kind, s, e, value, r, owners, repos, live), sorted by start and kind."""
-    c = materialise(candidates(docs, text, owner, repo, keys), "secrets")
-    each = c.where("size(base) > 0 or size(generic) > 0").select(
-        "rid", "owner", "repo", F.explode(F.concat("base", "generic")).alias("x")
-    ).withColumn("vh", F.sha2("x.value", 256))
+def owned(c: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """Every value of ``candidates`` by its hash ``vh``: how many owners and repositories hold it, and whether it is live."""
+    each = c.where("size(base) > 0 or size(generic) > 0").select("owner", "repo", F.explode(F.concat("base", "generic")).alias("x")).withColumn("vh", F.sha2("x.value", 256))
     # distinct repositories of each owner first: a value that a third of all rows hold is reduced before it meets in one row
     pair = each.groupBy("vh", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).agg(F.lit(1).alias("one"))
     by_owner = pair.groupBy("vh", "owner").agg(F.count("*").alias("n"))
-    owned = by_owner.groupBy("vh").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"), F.sum(F.when(F.col("owner") == "", F.col("n")).otherwise(0)).alias("unowned"))
+    by_value = by_owner.groupBy("vh").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"), F.sum(F.when(F.col("owner") == "", F.col("n")).otherwise(0)).alias("unowned"))
+    return by_value.select("vh", "owners", "repos", ((F.col("owners") <= max_owners) & (F.col("unowned") <= max_repos)).alias("live"))
+
+
+def scan(docs: DataFrame, text: str = "text", owner: str | None = "source", repo: str | None = "doc_id", keys: tuple[str, ...] = ("doc_id",), max_owners: int = 2, max_repos: int = 20) -> DataFrame:
+    """One row per row of ``docs``: ``keys``, and ``found`` (kind, s, e, value, r, owners, repos, live), sorted by start and kind."""
+    c = materialise(candidates(docs, text, owner, repo, keys), "secrets")
+    each = c.where("size(base) > 0 or size(generic) > 0").select("rid", F.explode(F.concat("base", "generic")).alias("x")).withColumn("vh", F.sha2("x.value", 256))
     found = (
-        each.join(owned, "vh")
-        .withColumn("live", (F.col("owners") <= max_owners) & (F.col("unowned") <= max_repos))
+        # values are a table of their own, so that rows of one value can be split
+        each.join(materialise(owned(c, max_owners, max_repos), "owned"), "vh")
         .groupBy("rid")
         .agg(F.expr("array_sort(collect_list(struct(x.s as s, x.r as r, x.e as e, x.kind as kind, x.value as value, owners, repos, live)))").alias("found"))
     )
-    out = c.select("rid", *[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]).join(found, "rid", "left")
-    return out.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<s:int,r:int,e:int,kind:string,value:string,owners:bigint,repos:bigint,live:boolean>>)")))
+    out = c.join(found, "rid", "left")
+    none = F.expr("cast(array() as array<struct<s:int,r:int,e:int,kind:string,value:string,owners:bigint,repos:bigint,live:boolean>>)")
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.coalesce("found", none).alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -103,17 +108,27 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **scan_args) -> DataFrame:
-    """``docs`` with every base or live span replaced by ``mark``; ``n_chars``, if there, follows the new text."""
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", owner: str | None = "source", repo: str | None = "doc_id", max_owners: int = 2, max_repos: int = 20) -> DataFrame:
+    """``docs`` with every base or live span replaced by ``mark``; ``n_chars``, if there, follows the new text.
+
+    Base spans are blotted out where they are found. Only rows with generic candidates meet the counts of their values.
+    """
     cols = docs.columns
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "redact")
-    found = scan(numbered, text, keys=("_row",), **scan_args).select("_row", F.expr("filter(found, x -> x.kind <> 'live' or x.live)").alias("_found")).where("size(_found) > 0")
+    c = materialise(candidates(docs, text, owner, repo, tuple(cols)), "redact")
+    asked = c.where("size(generic) > 0").select("rid", F.explode("generic").alias("x"))
+    values = materialise(owned(c, max_owners, max_repos).where("live").select("vh"), "live")
+    live = asked.withColumn("vh", F.sha2("x.value", 256)).join(values, "vh").groupBy("rid").agg(F.collect_list("x").alias("live"))
+    none = F.expr(NONE)
+    rows = c.where("size(generic) = 0").withColumn("live", none).unionByName(c.where("size(generic) > 0").join(live, "rid", "left").withColumn("live", F.coalesce("live", none)))
+    rows = rows.withColumn("found", F.expr("array_sort(transform(concat(base, live), x -> struct(x.s as s, x.r as r, x.e as e)))"))
+    t = f"k{cols.index(text)}"
     # spans are in order of their starts; an overlapped part is passed once
-    hidden = f"""aggregate(_found, struct(0 as pos, cast(array() as array<string>) as out),
+    hidden = f"""aggregate(found, struct(0 as pos, cast(array() as array<string>) as out),
         (a, x) -> struct(greatest(a.pos, x.e) as pos, case when x.s >= a.pos
-            then concat(a.out, array(substring(`{text}`, a.pos + 1, x.s - a.pos), '{mark}')) else a.out end as out),
-        a -> concat(array_join(a.out, ''), substring(`{text}`, a.pos + 1)))"""
-    out = numbered.join(found, "_row", "left").withColumn(text, F.expr(f"case when _found is null then `{text}` else {hidden} end"))
+            then concat(a.out, array(substring({t}, a.pos + 1, x.s - a.pos), {_q(mark)})) else a.out end as out),
+        a -> concat(array_join(a.out, ''), substring({t}, a.pos + 1)))"""
+    new = F.expr(f"case when size(found) = 0 then {t} else {hidden} end")
+    made = {text: new}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("bigint")))
-    return out.select(*[F.col(f"`{c}`") for c in cols])
+        made["n_chars"] = F.when(F.expr("size(found) = 0"), F.col(f"k{cols.index('n_chars')}")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[made.get(k, F.col(f"k{i}")).alias(k) for i, k in enumerate(cols)])

@@ -194,12 +194,12 @@ def test_pii_permutes_long_ibans_whole(spark):
 
 
 def test_license_scan(spark):
-    mit = license_scan.TEMPLATES["MIT-text"]
+    mit = license_scan.TEMPLATES["MIT-opening"]
     half = " ".join(mit.split()[:20])
     given = [prose(1, 30) + " Released under the MIT License. " + prose(2, 700), prose(3, 50) + "\n" + mit.upper() + "\n" + prose(4, 9), half, None, "", "MIT License", prose(5, 3000), mit.replace("merge", "merges") + " " + mit]
     found = {r.doc_id: r for r in license_scan.digest(license_scan.scan(frame(spark, given))).collect()}
     assert found[0].licenses == "MIT" and found[0].spans == "MIT:30:35"
-    assert found[1].licenses == "MIT-text" and found[7].licenses == "MIT-text"
+    assert found[1].licenses == "MIT-opening" and found[7].licenses == "MIT-opening"
     assert [found[i].n_matches for i in (2, 3, 4, 5, 6)] == [0] * 5
     with pytest.raises(ValueError):
         license_scan.Index({"x": "too short"})
