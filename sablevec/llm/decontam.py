@@ -174,8 +174,8 @@ def _longest(matches: list[tuple]) -> list[dict]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = 10, locate: bool = False, **block_args) -> DataFrame:
-    """``keep`` columns, n_words, n_hit, the item ids with occurring windows and, if asked, the longest matches."""
+def _hits(docs: DataFrame, benchmark: DataFrame, text: str, keep: tuple[str, ...], window: int, locate: bool, **block_args) -> DataFrame:
+    """Columns ``k0`` and so on for ``keep``, and the results."""
     shared = blocks(benchmark, window, **block_args)
     src = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], *([] if text in keep else [F.col(f"`{text}`").alias("t")]))
     column = f"k{keep.index(text)}" if text in keep else "t"  # a kept text crosses once
@@ -192,14 +192,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[
 
     kinds = [f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     kinds += ["n_words bigint", "n_hit bigint", "items array<string>"] + ["matches array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"] * locate
-    out = src.mapInArrow(run, ", ".join(kinds))
+    return src.mapInArrow(run, ", ".join(kinds))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = 10, locate: bool = False, **block_args) -> DataFrame:
+    """``keep`` columns, n_words, n_hit, the item ids with occurring windows and, if asked, the longest matches."""
+    out = _hits(docs, benchmark, text, keep, window, locate, **block_args)
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *out.columns[len(keep) :])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **args) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, **block_args) -> DataFrame:
     """``docs`` without the affected documents."""
-    keep = tuple(docs.columns)
-    return hits(docs, benchmark, text, keep, **args).where("n_hit = 0").select(*[F.col(f"`{k}`") for k in keep])
+    found = _hits(docs, benchmark, text, tuple(docs.columns), window, False, **block_args).where("n_hit = 0")
+    return found.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(docs.columns)])
 
 
 def digest(found: DataFrame) -> DataFrame:

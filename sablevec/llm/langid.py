@@ -180,8 +180,8 @@ def score(texts: list, model: dict) -> tuple[list[str], np.ndarray]:
     return out, best
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` for each row."""
+def _predict(docs: DataFrame, model: dict, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """Columns ``k0`` and so on for ``keep``, ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], *([] if text in keep else [F.col(f"`{text}`").alias("t")]))
     column = f"k{keep.index(text)}" if text in keep else "t"  # a kept text crosses once
@@ -193,8 +193,18 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, .
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang), pa.array(best)], [*part.schema.names[: len(keep)], "lang_pred", "score"])
 
     kinds = ", ".join(f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    out = src.mapInArrow(run, f"{kinds}, lang_pred string, score double")
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "lang_pred", "score")
+    return src.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns with ``lang_pred`` and ``score`` for each row."""
+    return _predict(docs, model, text, keep).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, model: dict, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without those that have no language; a missing label is filled in."""
+    found = _predict(docs, model, text, tuple(docs.columns)).where("lang_pred <> 'und'")
+    return found.select(*[(F.coalesce(f"k{i}", "lang_pred") if k == lang else F.col(f"k{i}")).alias(k) for i, k in enumerate(docs.columns)])
 
 
 def held_out(key: str = "doc_id"):
