@@ -7,7 +7,6 @@ input. All but the last return the columns of their input. Rows of null text go
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sablevec.llm import decontam, jaccard_join, langid, secrets, sp_codec
 from sablevec.llm.queries import SP_MODEL, table
@@ -18,8 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, no letters) go; a missing label is filled in."""
     configure(spark)
     model = langid.fit(docs.where(~langid.held_out()))
-    known = langid.predict(docs, model, keep=tuple(docs.columns)).where("lang_pred <> 'und'")
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return langid.keep_known(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
