@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
@@ -52,6 +54,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory that arrays no longer use back to the system: workers live on between tasks and share a bounded executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The batch in runs of whole rows of at most ``limit`` bytes of text, or of one longer row."""
     _, offsets = utf8(batch.column(column))
@@ -60,6 +69,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[p
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    release()
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

@@ -37,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablevec.llm.common import NOT_SPACE, Words, fresh, pieces, shingles, utf8
+from sablevec.llm.common import NOT_SPACE, Words, fresh, pieces, release, shingles, utf8
 from sablevec.llm.components import components
 from sablevec.session import materialise
 
 #: Rows that one task sorts at a time, on average.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 500_000
 #: Elements of the sets of a tile of a family, about.
 TILE_ELEMENTS = 1_000_000
 #: Classes of an element that are compared with another tile in one step.
@@ -102,7 +102,7 @@ def frequent(docs: DataFrame, text: str, k: int, least: int, most: int) -> np.nd
                 h, n = np.unique(h, return_counts=True)
                 seen, back = np.unique(np.concatenate([seen, h]), return_inverse=True)
                 count = np.bincount(back, np.concatenate([count, n]), len(seen)).astype(np.int64)
-                if len(seen) > 1 << 21:  # bounded memory: what was seen once may be counted once too few
+                if len(seen) > 1 << 20:  # bounded memory: what was seen once may be counted once too few
                     seen, count = seen[count > 1], count[count > 1]
         yield pa.RecordBatch.from_arrays([pa.array(seen[count >= 4].view(np.int64)), pa.array(count[count >= 4])], ["h", "n"])
 
@@ -186,6 +186,7 @@ def _meet(num: int, den: int):
         for at in range(0, len(h), 1 << 18):
             cut = slice(at, at + (1 << 18))
             yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (h, cls, n, lead)], ["h", "cls", "n", "lead"])
+        release()
 
     return run
 
@@ -355,6 +356,7 @@ def _links(num: int, den: int):
             out = [(cls[i], cls[j], 0) for i, j in pairs] + [(cls[i], None, int(weight[i])) for i in np.flatnonzero(weight)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "w"])
+        release()
 
     return run
 

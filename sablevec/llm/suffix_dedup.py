@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablevec.llm.common import NOT_SPACE, Words, mix, pieces, powers, prefix_hash, utf8
+from sablevec.llm.common import NOT_SPACE, Words, mix, pieces, powers, prefix_hash, release, utf8
 from sablevec.llm.suffix_array import permuted_common_prefixes, suffix_array
 from sablevec.session import discard, materialise
 
@@ -202,6 +202,7 @@ def _shard(length: int, unit: int):
     def run(table: pa.Table) -> pa.Table:
         found = repeated(list(zip(*(table.column(c).to_pylist() for c in ("k1", "k2", "s", "b")), strict=True)), length, unit)
         columns = list(zip(*found, strict=True)) if found else [[]] * 4
+        release()
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["k1", "k2", "s", "e"])
 
     return run
