@@ -20,6 +20,13 @@ RUNTIME = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
+#: Settings that a session's own ones override. Small tables of iterations become one file each instead of one per
+#: core; partitions of more than this size stay as they are.
+DEFAULTS = {
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+}
+
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where their path doesn't hold it yet."""
@@ -38,6 +45,9 @@ def configure(spark: SparkSession) -> SparkSession:
     ship(spark)
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    for key, value in DEFAULTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
