@@ -18,6 +18,7 @@ RUNTIME = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
     # whole texts cross to Python: smaller batches keep workers small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
 }
 
 #: Settings that a session's own ones override. Small tables of iterations become one file each instead of one per
