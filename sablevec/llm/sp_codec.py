@@ -38,7 +38,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Encoded cuts that a worker keeps between batches.
-KEPT = 400_000
+KEPT = 100_000
 #: Strings that new cuts are joined to for the library.
 RUNS = 16
 
@@ -130,9 +130,10 @@ class Codec:
         from tokenizers import decoders, normalizers
 
         m = parse(data)
-        self.whole, self.cuts = build(data), build(data)
+        self.cuts = build(data)
+        self.normalizer, self.decoder = self.cuts.normalizer, self.cuts.decoder  # of whole texts
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.apart = m["kind"] == BPE and m["dummy_prefix"] and self.whole.pre_tokenizer is not None
+        self.apart = m["kind"] == BPE and m["dummy_prefix"] and self.cuts.pre_tokenizer is not None
         if self.apart:  # cuts are normalised already, and only a text's first one loses its marker
             self.cuts.normalizer = normalizers.Sequence([])
             self.cuts.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
@@ -194,7 +195,7 @@ class Codec:
         if len(self.at) > KEPT:
             self.forget()
         if self.apart:
-            normal = (lambda t: t and MARK + t.replace(" ", MARK)) if self.plain else self.whole.normalizer.normalize_str
+            normal = (lambda t: t and MARK + t.replace(" ", MARK)) if self.plain else self.normalizer.normalize_str
             parts = [_CUT.findall(normal(t)) for t in texts]
         else:
             parts = [[t] for t in texts]
@@ -231,7 +232,8 @@ def encode(data: bytes, texts: list) -> list[list[int]]:
 
 
 def decode(data: bytes, ids: list[list[int]]) -> list[str]:
-    return _codec(data).whole.decode_batch(ids, skip_special_tokens=False)
+    codec = _codec(data)
+    return [codec.decoder.decode([codec.cuts.id_to_token(i) for i in x]) for x in ids]
 
 
 def verify(data: bytes, texts: list[str]) -> list[int]:
