@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sablevec.operators.index import top_components
+from sablevec.session import materialise
 
 #: Rows of a query batch that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -85,8 +86,9 @@ def surviving(scored: DataFrame, threshold: DataFrame, heap_factor: float, q: Da
 def approximate(q: DataFrame, p: DataFrame, blocks: DataFrame, sizes: DataFrame, summary: DataFrame, k: int, cut: int, heap_factor: float, radii: DataFrame | None = None, alpha: float = 0.0, by_count: bool = False, summary_query: DataFrame | None = None) -> DataFrame:
     """Top-k in two phases: the best blocks give a first k-th score, which then drops blocks of the rest."""
     scored = block_scores(q, sizes, summary, cut) if summary_query is None else projected_block_scores(q, summary_query, sizes, summary, cut)
+    scored = materialise(scored, "scored")  # both phases read them; the first phase's result is read three times
     seeds = seed_blocks(scored, k)
-    first = score_pairs(seeds.join(blocks, ["c", "b"]).select("q", "d"), q, p)
+    first = materialise(score_pairs(seeds.join(blocks, ["c", "b"]).select("q", "d"), q, p), "first")
     more = surviving(scored, kth(first, k), heap_factor, q, radii, alpha, by_count).join(blocks, ["c", "b"]).select("q", "d")
     rest = score_pairs(more.distinct().join(first.select("q", "d"), ["q", "d"], "left_anti"), q, p)
     return top(first.unionByName(rest), k)

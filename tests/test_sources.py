@@ -95,3 +95,11 @@ def test_command_line(spark, tmp_path):
     main(["build", str(tmp_path / "v.bin"), str(tmp_path / "ix"), "--n-postings", "10"], spark)
     main(["search", str(tmp_path / "ix"), str(tmp_path / "v.bin"), str(tmp_path / "out"), "--k", "1", "--heap-factor", "0"], spark)
     assert sorted((r.q, r.d) for r in text.read_results(spark, str(tmp_path / "out")).collect()) == [("0", "0"), ("1", "1"), ("2", "2")]
+
+
+def test_half_precision_of_nulls(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 1.5), (2, None), (3, 1e9)], "i int, v float").withColumn("h", to_half("v"))
+    assert [(r.h, r.b) for r in df.select("i", "h", from_half("h").alias("b")).orderBy("i").collect()] == [(bytearray(b"\x00\x3e"), 1.5), (None, None), (bytearray(b"\x00\x7c"), float("inf"))]
+    assert df.where("v is null").select(from_half("h").alias("b")).where(F.col("b").isNotNull()).count() == 0
