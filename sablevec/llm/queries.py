@@ -46,7 +46,7 @@ SP_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_codec.codec(table(spark, sf_dir, "documents"), sp_codec.load(spark, SP_MODEL), outputs=("n_tokens", "ids_sha256", "exact", "parity"))
+    return sp_codec.codec(table(spark, sf_dir, "documents"), sp_codec.load(spark, SP_MODEL), outputs=("n_tokens", "ids_sha256", "exact", "parity"), kept=300_000)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

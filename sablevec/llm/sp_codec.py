@@ -190,9 +190,9 @@ class Codec:
         self.same = np.concatenate([self.same, np.broadcast_to(same, len(new))])
         self.back += back
 
-    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    def run(self, texts: list[str], kept: int | None = None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
         """All ids, where each text's begin (and the end), the decoded texts, and whether the ids are the library's."""
-        if len(self.at) > KEPT:
+        if len(self.at) > (KEPT if kept is None else kept):
             self.forget()
         if self.apart:
             normal = (lambda t: t and MARK + t.replace(" ", MARK)) if self.plain else self.normalizer.normalize_str
@@ -251,8 +251,8 @@ def load(spark, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def codec(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded", "exact", "parity")) -> DataFrame:
-    """``keep`` columns and the asked ``outputs`` of encoding each text and decoding it again."""
+def codec(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded", "exact", "parity"), kept: int = KEPT) -> DataFrame:
+    """``keep`` columns and the asked ``outputs`` of encoding each text and decoding it again; a worker keeps ``kept`` cuts, which changes time and memory only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "exact": "boolean", "parity": "boolean"}
     src = docs.select(*[docs[f"`{k}`"].alias(f"k{i}") for i, k in enumerate(keep)], docs[f"`{text}`"].alias("t"))
@@ -261,7 +261,7 @@ def codec(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ..
         for batch in batches:
             for part in pieces(batch, "t", 1 << 20):
                 texts = [t or "" for t in part.column("t").to_pylist()]
-                ids, begin, back, parity = _codec(shared.value).run(texts)
+                ids, begin, back, parity = _codec(shared.value).run(texts, kept)
                 made = {"n_tokens": pa.array(np.diff(begin), pa.int64()), "parity": pa.array(parity)}
                 if "ids" in outputs:
                     made["ids"] = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids))
