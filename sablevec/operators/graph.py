@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablevec.operators.search import score_pairs, scores, small, top
+from sablevec.operators import pairs
+from sablevec.operators.search import score_pairs, small, top
+from sablevec.session import configure
 
 
 def build(p: DataFrame, degree: int, asked: DataFrame | None = None) -> DataFrame:
     """(d, rank, nbr, score): each document's ``degree`` best others, among all that share a component.
 
-    ``asked`` limits the documents that get neighbours. For corpora beyond one batch, search blocks of documents
-    through ``search.approximate`` and pass its rows to ``from_results``.
+    ``asked`` limits the documents that get neighbours. Exact, by tiles of blocks (``pairs``); the work grows with asked
+    documents times documents. For a searched graph, search blocks of documents through ``search.approximate`` and
+    pass its rows to ``from_results``.
     """
-    q = (p if asked is None else p.join(asked, "d", "left_semi")).withColumnRenamed("d", "q")
-    return from_results(top(scores(q, p).where("q <> d"), degree), degree)
+    configure(p.sparkSession)
+    return from_results(pairs.neighbours(p, degree, asked), degree)
 
 
 def from_results(results: DataFrame, degree: int) -> DataFrame:
