@@ -131,12 +131,15 @@ def products(a: Block, b: Block, lo: int, hi: int, qv: np.ndarray, dv: np.ndarra
     _, i, j = np.intersect1d(a.words, b.words, assume_unique=True, return_indices=True)
     na, nb = np.diff(a.word_at)[i] * ((hi - lo) / len(a.d)), np.diff(b.word_at)[j]
     dense = CALL_S + OUTER_S * na * nb > DENSE_S * (hi - lo) * len(b.d)
-    out = np.zeros((hi - lo, len(b.d)), np.float32)
+    out = None
     di, dj = i[dense], j[dense]
     for at in range(0, len(di), WIDE):
         if len(di) > WIDE or "m" not in right or not np.array_equal(right["words"], dj):
             right["words"], right["m"] = dj[at : at + WIDE], b.matrix(dj[at : at + WIDE], dv, 0, len(b.d))
-        out += a.matrix(di[at : at + WIDE], qv, lo, hi) @ right["m"].T
+        part = a.matrix(di[at : at + WIDE], qv, lo, hi) @ right["m"].T
+        out = part if out is None else np.add(out, part, out)
+    if out is None:
+        out = np.zeros((hi - lo, len(b.d)), np.float32)
     for x, y in zip(i[~dense], j[~dense]):
         s, t = a.postings(x), b.postings(y)
         s = s[(a.row[s] >= lo) & (a.row[s] < hi)]
@@ -196,9 +199,10 @@ class Best:
             bar = np.nextafter(bar, np.float32(-np.inf))
             if positive:  # 0: no shared component
                 bar = np.maximum(bar, np.float32(1e-45))
-            s[:, b.odd] = np.inf
+            if b.odd.any():
+                s[:, b.odd] = np.inf
             bar[a.odd[lo:hi]] = -np.inf
-            i, j = np.nonzero(s >= bar[:, None])
+            i, j = np.divmod(np.flatnonzero(s >= bar[:, None]), len(b.d))
             found.append((i + lo, j))
         i, j = (np.concatenate(x) for x in zip(*found))
         total, shared = sums(a, b, i, j)

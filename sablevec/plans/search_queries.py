@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sablevec.operators import cluster, graph, index, metrics, order, projection, search, updates
 from sablevec.plans.catalogue import register, registered
 from sablevec.plans.corpora import asked_of, queries_of, signed_vectors, table, vectors, words
+from sablevec.session import materialise
 
 K, CUT, HF, PRUNE, SIZE, ENERGY, ALPHA, FRACTION, REPS, SEED = 10, 4, 0.9, 60, 10, 0.4, 0.15, 0.2, 6, 7
 
@@ -553,7 +554,9 @@ REFINE = [
 @register("knn_refine", sql(RESULT + f"(SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) rank FROM ka) WHERE rank <= {K}", *ann_parts("mx", PLAIN), *KNN, *REFINE))
 def knn_refine(spark, sf_dir, ask=queries_of):
     x = Built(spark, sf_dir, ask)
-    return result(graph.refine(x.approximate(x.most()), x.q, x.p, graph.build(x.p, 5), 3, K))
+    found = materialise(x.approximate(x.most()), "found")
+    knn = graph.build(x.p, 5, found.select("d").distinct())  # no other document's neighbours are looked up
+    return result(graph.refine(found, x.q, x.p, knn, 3, K))
 
 
 # updates: documents with d % 25 = 0 come later, those with d % 7 = 3 go

@@ -88,3 +88,17 @@ def test_no_plan_lists_the_pairs_of_a_component(spark):
     p = spark.createDataFrame([(d, c, 1.0 + d * c) for d in range(20) for c in range(3)], "d bigint, c int, v double")
     plan = graph.build(p, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join \w+, \(c#\d+L? = c#", plan)
+
+
+def test_refinement_asks_only_for_found_documents(spark, monkeypatch, tmp_path):
+    from sablevec.plans import catalogue
+
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.standard_normal((120, 64)).astype(np.float32).astype(float))]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made, build = [], graph.build
+    monkeypatch.setattr(graph, "build", lambda *a, **b: made.append(build(*a, **b)) or made[-1])
+    out = catalogue.queries()["knn_refine_all"](spark, str(tmp_path)).collect()
+    assert {r.q for r in out} == {0, 50, 100}
+    found = {r.d for r in made[0].select("d").distinct().collect()}
+    assert len(found) <= 30 and {r.d for r in out} <= found | {r.nbr for r in made[0].collect()}
