@@ -107,7 +107,7 @@ def test_registered_graph_has_no_join_of_postings(spark, folder):
     assert lists(df) == brute(folder[1], 5)
 
 
-@pytest.mark.parametrize("name, asked", [("knn_refine_all", {0, 50, 100})])
+@pytest.mark.parametrize("name, asked", [("knn_refine_all", {0, 50, 100}), ("knn_refine", set(range(20)))])
 def test_refinement_asks_only_for_found_documents(spark, folder, monkeypatch, name, asked):
     from sablevec.plans import catalogue
 
