@@ -2,7 +2,9 @@
 
 Equal vectors are one class: only the k + 1 smallest ids of a class can be among anyone's k neighbours, and its members
 share one search. Classes are packed into blocks of at most ``DOCS`` vectors and about ``POSTINGS`` postings, one row
-each; two blocks meet as one row of a product without a shuffle, however large the corpus is.
+each; two blocks meet as one row of a product without a shuffle, however large the corpus is. A task buffers an asking
+block and streams the others past it, so each class sends on its k best once (a few times, where there are fewer asking
+blocks than tasks): what is shuffled grows with the classes, not with their pairs.
 
 In a tile, single-precision products, with the most their error can be, say which pairs may still be among the best;
 these alone are summed in double precision, by component. Components that few vectors hold are added as outer products
@@ -26,7 +28,7 @@ from sablevec.session import materialise
 
 #: Most vectors of a block and about the most postings; rows of a block that are multiplied at once.
 DOCS, POSTINGS, STRIP = 4096, 262_144, 512
-#: Blocks that a task may hold beside its own; postings summed in double precision at once.
+#: Asking blocks that a task may hold at once; postings summed in double precision at once.
 HELD, SUMMED = 16, 1_000_000
 #: Seconds of one multiplication in a matrix product, of one in an outer product, and of any outer product.
 DENSE_S, OUTER_S, CALL_S = 4e-11, 6e-9, 1.5e-5
@@ -69,8 +71,11 @@ class Block:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, side: str, i: int) -> Block:
-        d, n, c, v = (np.frombuffer(batch.column(side + x)[i].as_buffer(), t) for x, t in (("d", np.int64), ("n", np.int64), ("c", np.int64), ("v", np.float64)))
-        return cls(d, n, c, v)
+        d, n, c, v = (batch.column(side + x)[i].as_buffer() for x in "dncv")
+        d, n = np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)
+        size = int(n.sum())  # postings, as narrow as packed
+        c, v = np.frombuffer(c, f"i{c.size // size}"), np.frombuffer(v, f"f{v.size // size}")
+        return cls(d, n, c.astype(np.int64), v.astype(np.float64))
 
     def scaled(self, by: np.ndarray | float) -> np.ndarray:
         """Values divided by a norm, in single precision; those of odd rows are 0."""
@@ -91,6 +96,16 @@ class Block:
         return out
 
 
+def narrow(x: np.ndarray, *kinds: type) -> bytes:
+    """The bytes of ``x`` in the first of ``kinds`` that holds every value exactly, or else as they are."""
+    for kind in kinds:
+        with np.errstate(all="ignore"):
+            y = x.astype(kind)
+        if np.array_equal(y.astype(x.dtype), x, equal_nan=True):
+            return y.tobytes()
+    return x.tobytes()
+
+
 def pack():
     """Rows (rep, x) into blocks."""
 
@@ -101,7 +116,8 @@ def pack():
         with np.errstate(all="ignore"):
             v = np.add.reduceat(v, np.flatnonzero(first))
         n = np.bincount(row[first], minlength=len(d))
-        blobs = [pa.array([x.tobytes()], pa.binary()) for x in (d.astype(np.int64), n.astype(np.int64), c[first].astype(np.int64), v.astype(np.float64))]
+        c, v = narrow(c[first].astype(np.int64), np.int16, np.int32), narrow(v.astype(np.float64), np.float32)
+        blobs = [pa.array([x], pa.binary()) for x in (d.astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), c, v)]
         return pa.RecordBatch.from_arrays([pa.array([int(d[0])], pa.int64()), *blobs], names=["first", "d", "n", "c", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,24 +267,32 @@ def blocks(x: DataFrame, name: str) -> DataFrame:
     return materialise(x.select("rep", "x").coalesce(n).mapInArrow(pack(), BLOCK), name)
 
 
+def met(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(q, d, score): the k best classes of every class of the left blocks, from each part of the right blocks."""
+    n_left, n_right = left.count(), right.count()
+    # one part, unless there are too few left blocks to keep all cores busy
+    parts = max(1, min(n_right, math.ceil(2 * left.sparkSession.sparkContext.defaultParallelism / max(1, n_left))))
+    q = left.select(*[F.col(c).alias("q_" + c) for c in left.columns]).repartition(max(1, n_left))
+    d = right.select(*[F.col(c).alias("d_" + c) for c in right.columns]).repartition(parts)
+    # a product buffers its second side and streams the first; a broadcast would leave one task a part
+    return d.hint("shuffle_replicate_nl").crossJoin(q).mapInArrow(meet(k), FOUND)
+
+
 def neighbours(p: DataFrame, degree: int, asked: DataFrame | None = None) -> DataFrame:
     """(q, d, score): the ``degree`` best others of each document of p (d, c, v), or of those in ``asked`` (d)."""
-    from sablevec.operators.search import top
+    from sablevec.operators.search import small, top
 
-    spark, k = p.sparkSession, degree + 1
+    k = degree + 1
     known = materialise(classes(p), "classes")
-    members = known.select("rep", F.explode("ids").alias("member"))
+    copied = known.where(F.size("ids") > 1)  # other classes need no joins
+    members = (copied if asked is None else known).select("rep", F.explode("ids").alias("member"))
     if asked is not None:
         members = materialise(members.join(asked.select(F.col("d").cast("bigint").alias("member")), "member", "left_semi").select("rep", "member"), "asked")
     right = blocks(known, "blocks")
     left = right if asked is None else blocks(known.join(members.select("rep").distinct(), "rep", "left_semi"), "asking")
-    n_left, n_right = left.count(), right.count()
-    # every task holds one part of the right blocks; few left blocks meet more, smaller parts
-    parts = max(1, math.ceil(n_right / HELD), min(n_right, math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, n_left))))
-    q = left.select(*[F.col(c).alias("q_" + c) for c in left.columns]).repartition(max(1, n_left))
-    d = right.select(*[F.col(c).alias("d_" + c) for c in right.columns]).repartition(parts)
-    best = top(q.crossJoin(d).mapInArrow(meet(k), FOUND), k).drop("rank")
-    first = known.select(F.col("rep").alias("d"), F.slice("ids", 1, k).alias("ids"))
-    each = best.join(first, "d").select(F.col("q").alias("rep"), F.explode("ids").alias("d"), "score")
-    each = top(each.withColumnRenamed("rep", "q"), k).drop("rank")
-    return each.withColumnRenamed("q", "rep").join(members, "rep").where("member <> d").select(F.col("member").alias("q"), "d", "score")
+    best = top(met(left, right, k), k).drop("rank")
+    first = copied.select(F.col("rep").alias("d"), F.slice("ids", 1, k).alias("ids"))
+    each = best.join(small(first), "d", "left").select("q", F.explode(F.coalesce("ids", F.array("d"))).alias("d"), "score")
+    each = top(each, k).drop("rank").withColumnRenamed("q", "rep")
+    each = each.join(small(members), "rep", "left").withColumn("member", F.coalesce("member", "rep"))
+    return each.where("member <> d").select(F.col("member").alias("q"), "d", "score")

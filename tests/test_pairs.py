@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sablevec.operators import graph, pairs
+from sablevec.operators import graph, pairs, search
 
 
 def table(rng, n, dim, most, signed=False):
@@ -90,6 +90,32 @@ def test_no_plan_lists_the_pairs_of_a_component(spark):
     assert not re.search(r"Join \w+, \(c#\d+L? = c#", plan)
 
 
+def test_rows_sent_on_do_not_grow_with_pairs_of_blocks(spark, monkeypatch):
+    """A class sends on its best once, however many blocks it meets."""
+    monkeypatch.setattr(pairs, "DOCS", 4)
+    monkeypatch.setattr(pairs, "HELD", 2)
+    rows, sent, top = table(np.random.default_rng(8), 120, 12, 9), [], search.top
+    monkeypatch.setattr(search, "top", lambda found, k: sent.append(found) or top(found, k))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for blocks too large to be broadcast
+    try:
+        assert lists(graph.build(spark.createDataFrame(rows, "d bigint, c int, v double"), 4)) == brute(rows, 4)
+        assert sent[0].count() <= 5 * 120
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_blocks_hold_values_exactly_and_narrow():
+    kind = pa.schema([("rep", pa.int64()), ("x", pa.list_(pa.struct([("c", pa.int64()), ("v", pa.float64())])))])
+    cases = {(2, 4): [(3, 0.5), (9, math.nan), (32767, -0.0)], (4, 8): [(-1, 0.1), (40000, 1e300)], (8, 4): [(2**40, math.inf), (2**62 + 1, 1.5)]}
+    for (c_size, v_size), x in cases.items():
+        batch = pa.RecordBatch.from_pylist([{"rep": 7, "x": [{"c": c, "v": v} for c, v in sorted(x)]}], kind)
+        (made,) = pairs.pack()(iter([batch]))
+        assert (len(made.column("c")[0].as_py()), len(made.column("v")[0].as_py())) == (c_size * len(x), v_size * len(x))
+        b = pairs.Block.of(made.rename_columns(["q_" + n for n in made.schema.names]), "q_", 0)
+        assert b.c.tolist() == [c for c, _ in sorted(x)]
+        assert b.v.tobytes() == np.array([v for _, v in sorted(x)]).tobytes()
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("graph")
