@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _powers: dict[str, np.ndarray] = {}
+#: What empties an operator's cache between tasks, by the operator's name.
+CACHES: dict[str, Callable[[], None]] = {}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -61,8 +63,11 @@ def release() -> None:
         _trim(0)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows of at most ``limit`` bytes of text, or of one longer row."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows of at most ``limit`` bytes of text, or of one longer row; only the ``owner``'s cache stays."""
+    for name, empty in CACHES.items():
+        if name != owner:
+            empty()
     _, offsets = utf8(batch.column(column))
     lo = 0
     while lo < batch.num_rows:

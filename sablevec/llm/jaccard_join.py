@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from sablevec.llm.common import NOT_SPACE, Words, fresh, pieces, release, shingles, utf8
 from sablevec.llm.components import components
-from sablevec.session import materialise
+from sablevec.session import materialise, settle
 
 #: Rows that one task sorts at a time, on average.
 TASK_ROWS = 500_000
@@ -451,6 +451,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", broadcast_bytes: int = 32 << 20, **args) -> DataFrame:
     """``docs`` with one document of each component: the one whose key names it (of repeated keys one row; rows of null key stay)."""
     join = Join(docs, key=key, **args)
+    settle(docs.sparkSession)
     d = fresh(docs.columns, "d")
     out = materialise(join.members().where("d <> component").select(F.col("d").alias(d)).distinct(), "copies")
     if out.count() * 64 <= broadcast_bytes:

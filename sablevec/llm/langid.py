@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from sablevec.llm.common import mix, pieces, powers, prefix_hash
 from sablevec.session import discard, materialise
@@ -103,7 +105,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """The model, a dict of sparse tables, from rows of ``docs`` whose language is not null."""
     some = materialise(sample(docs, text, lang, key, per_lang, max_chars), "sample")
     langs = [r.lang for r in some.select("lang").distinct().orderBy("lang").collect()]
-    number = docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(langs)], f"lang {some.schema['lang'].dataType.simpleString()}, l int")
+    kind = some.schema["lang"].dataType
+    # an Arrow table: rows of a list would go through Python workers, which stay beside those of the operators
+    number = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(langs, to_arrow_type(kind)), "l": pa.array(range(len(langs)), pa.int32())}), StructType().add("lang", kind).add("l", "integer"))
     split = some.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
     words = materialise(split.join(F.broadcast(number), "lang").select("l", "w", "n"), "words")
     model = {"langs": langs, "words": _table(words, len(langs))}

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sablevec.llm.common import pieces
+from sablevec.llm.common import CACHES, pieces
 
 MARK = "▁"
 #: Kinds of a piece and of a model, as fixed by the file format.
@@ -226,6 +226,9 @@ def _codec(data: bytes) -> Codec:
     return Codec(data)
 
 
+CACHES["sp_codec"] = _codec.cache_clear
+
+
 def encode(data: bytes, texts: list) -> list[list[int]]:
     ids, begin, *_ = _codec(data).run([t or "" for t in texts])
     return [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)]
@@ -259,7 +262,7 @@ def codec(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "t", 1 << 20):
+            for part in pieces(batch, "t", 1 << 20, "sp_codec"):
                 texts = [t or "" for t in part.column("t").to_pylist()]
                 ids, begin, back, parity = _codec(shared.value).run(texts, kept)
                 made = {"n_tokens": pa.array(np.diff(begin), pa.int64()), "parity": pa.array(parity)}

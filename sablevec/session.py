@@ -67,6 +67,13 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
     return configure(spark)
 
 
+def settle(spark: SparkSession) -> None:
+    """Executors collect garbage and give the freed heap back to the system, as far as their JVM does: a heap stays as
+    large as an earlier stage made it otherwise, beside the Python workers that share an executor's memory."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc') AS done").collect()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -3,9 +3,10 @@
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 from test_operators import MODEL, base, linked_components, prose, word_sets
 
-from sablevec.llm import sp_codec
+from sablevec.llm import common, langid, sp_codec
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,3 +59,34 @@ def test_stages_keep_columns_and_survive_empty_tables(spark, tmp_path):
         assert out.count() == 0
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == COLUMNS
+
+
+def test_each_stage_lets_executors_give_heap_back(spark, tmp_path):
+    fixture(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 0")
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if not re.search("Young|Copy|Concurrent", b.getName())]
+    for _, stage in corpus_pipeline.STAGES:
+        whole = sum(b.getCollectionCount() for b in beans)
+        stage(spark, docs, str(tmp_path))
+        assert sum(b.getCollectionCount() for b in beans) > whole
+
+
+def test_a_worker_drops_the_tokenizer_when_another_operator_reads(spark):
+    batch = pa.record_batch({"t": ["a text"]})
+    sp_codec.encode(sp_codec.load(spark, MODEL), ["a text"])
+    list(common.pieces(batch, "t", owner="sp_codec"))
+    assert sp_codec._codec.cache_info().currsize == 1
+    list(common.pieces(batch, "t"))
+    assert sp_codec._codec.cache_info().currsize == 0
+
+
+def test_training_starts_no_workers_for_the_languages(spark, monkeypatch):
+    def parallelize(*args):
+        raise AssertionError("rows of a list go through Python workers")
+
+    docs = spark.sql("SELECT id AS doc_id, if(id % 2 = 0, 'the house', 'das haus') AS text, if(id % 2 = 0, 'en', 'de') AS lang FROM range(20)")
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.sparkContext), "parallelize", parallelize)
+        model = langid.fit(docs)
+    assert model["langs"] == ["de", "en"]
+    assert {(r.text, r.lang_pred) for r in langid.predict(docs, model, keep=("text",)).collect()} == {("the house", "en"), ("das haus", "de")}
